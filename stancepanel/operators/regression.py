@@ -62,6 +62,7 @@ class Solution:
     n_params: int
     nested_params: int
     se: np.ndarray | None = None
+    cov: np.ndarray | None = None
     df: float = float("nan")
     scales: np.ndarray = field(default_factory=lambda: np.zeros(0))
 
@@ -297,7 +298,8 @@ class FixedEffectsModel:
         for s in self.solutions:
             s.df = s.n - s.n_params
             variance = s.rss / s.df if s.df > 0 else float("nan")
-            s.se = np.sqrt(np.diag(s.bread) * variance)
+            s.cov = s.bread * variance
+            s.se = np.sqrt(np.diag(s.cov))
 
     def unit_offsets(self) -> DataFrame:
         """Per (model, unit): mean of each target minus the mean of its level effects."""
@@ -403,7 +405,8 @@ class FixedEffectsModel:
                 s.df = g - 1
                 left = s.n - s.nested_params
                 factor = (g / (g - 1) * (s.n - 1) / left) if g > 1 and left > 0 else float("nan")
-            s.se = np.sqrt(np.maximum(np.diag(v) * (factor if self.small_sample else 1.0), 0))
+            s.cov = v * (factor if self.small_sample else 1.0)
+            s.se = np.sqrt(np.maximum(np.diag(s.cov), 0))
 
     def _cluster_meat(self, rows, compute, known, kx):
         kind = dict(self.coded.dtypes)["_c"]
@@ -490,23 +493,26 @@ class FixedEffectsModel:
         return small_table(self.spark, dict(zip(("model", "effect", "level", "value"), map(list, cols))),
                            {"model": pa.string(), "effect": pa.string(), "level": pa.string(), "value": pa.float64()})
 
-    def predict_effects(self, df: DataFrame, name: str = "fitted") -> DataFrame:
+    def predict_effects(self, df: DataFrame, name: str = "fitted", by: str | None = None) -> DataFrame:
         """Unit plus level effect for rows of `df`; rows of unseen units or levels drop out.
 
-        Only for a single model without regressors (the imputation estimator).
+        Only for models without regressors (the imputation estimator).
         """
-        (solution,) = self.solutions
-        unit = self.absorb[0]
-        offsets = self.unit_offsets().select(F.col("_a").alias(unit), F.element_at("_off", -1).alias("_u"))
-        out, fitted = df.join(offsets, unit), F.col("_u") + F.lit(float(solution.means[-1]))
-        effects = self.level_effects()
+        unit, by_column = self.absorb[0], F.col(by) if by else F.lit("all")
+        out = df.withColumn("_by", by_column.cast("string"))
+        offsets = self.unit_offsets().select("_by", F.col("_a").alias(unit), F.element_at("_off", -1).alias("_u"))
+        means = small_table(self.spark, {"_by": [s.by for s in self.solutions],
+                                         "_m": [float(s.means[-1]) for s in self.solutions]},
+                            {"_by": pa.string(), "_m": pa.float64()})
+        out, fitted = out.join(offsets, ["_by", unit]).join(means, "_by"), F.col("_u") + F.col("_m")
+        effects = self.level_effects().withColumnRenamed("model", "_by")
         for e in self.effects:
             part = effects.where(F.col("effect") == e).select(
-                F.col("level").alias(f"_k_{e}"), F.col("value").alias(f"_v_{e}"))
-            out = out.join(part, F.col(e).cast("string") == F.col(f"_k_{e}"))
+                "_by", F.col("level").alias(f"_k_{e}"), F.col("value").alias(f"_v_{e}"))
+            out = out.withColumn(f"_k_{e}", F.col(e).cast("string")).join(part, ["_by", f"_k_{e}"])
             fitted = fitted + F.col(f"_v_{e}")
         return out.withColumn(name, fitted).drop(
-            "_u", *[f"_k_{e}" for e in self.effects], *[f"_v_{e}" for e in self.effects])
+            "_u", "_m", "_by", *[f"_k_{e}" for e in self.effects], *[f"_v_{e}" for e in self.effects])
 
 
 # -- numpy helpers that run inside tasks ---------------------------------------------------------

@@ -26,3 +26,138 @@ def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
     parts = [t.agg(F.count(F.lit(1)).alias("n")).select(F.lit(n).alias("table_name"), "n")
              for n, t in tables.items()]
     return reduce(DataFrame.unionByName, parts)
+
+
+def exact_quantiles(df: DataFrame, value: str, probs, by: str | None = None, buckets: int = 256,
+                    max_groups: int = 10_000) -> DataFrame:
+    """Exact interpolated quantiles without gathering or sorting a group.
+
+    Each wanted rank is bracketed by two data values. A pass counts the values
+    of the bracket in equal-width buckets (a partial aggregate), keeps the
+    bucket that holds the rank and takes its own minimum and maximum as the
+    next bracket, until both are the same value. Only counts reach the driver.
+    """
+    spark = df.sparkSession
+    group = F.col(by).cast("string") if by else F.lit("all")
+    values = df.where(F.col(value).isNotNull()).select(
+        F.coalesce(group, F.lit("NULL")).alias("g"), F.col(value).cast("double").alias("v")).persist()
+    try:
+        ends = values.groupBy("g").agg(F.count("v").alias("n"), F.min("v").alias("lo"),
+                                       F.max("v").alias("hi")).limit(max_groups + 1).collect()
+        if len(ends) > max_groups:
+            raise ValueError(f"more than {max_groups} groups")
+        ranks = {}
+        for r in ends:
+            for p in probs:
+                at = (r["n"] - 1) * p
+                for rank in (int(at), min(int(at) + 1, r["n"] - 1)):
+                    ranks.setdefault((r["g"], rank), [r["lo"], r["hi"], 0])
+        while open_ := {k: b for k, b in ranks.items() if b[0] < b[1]}:
+            keys = list(open_)
+            table = small_table(spark, {"id": list(range(len(keys))), "g": [k[0] for k in keys],
+                                        "lo": [open_[k][0] for k in keys], "hi": [open_[k][1] for k in keys]})
+            share = (F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo"))
+            bucket = F.least(F.floor(share * buckets), F.lit(buckets - 1))
+            counts = (values.join(table, "g").where(F.col("v").between(F.col("lo"), F.col("hi")))
+                      .groupBy("id", bucket.alias("b"))
+                      .agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect())
+            for i, key in enumerate(keys):
+                bracket = ranks[key]
+                for r in sorted((r for r in counts if r["id"] == i), key=lambda r: r["b"]):
+                    if bracket[2] + r["n"] > key[1]:
+                        bracket[0], bracket[1] = r["lo"], r["hi"]
+                        break
+                    bracket[2] += r["n"]
+        rows = []
+        for r in ends:
+            for p in probs:
+                at = (r["n"] - 1) * p
+                a, b = ranks[(r["g"], int(at))][0], ranks[(r["g"], min(int(at) + 1, r["n"] - 1))][0]
+                rows.append((r["g"], float(p), a + (b - a) * (at - int(at))))
+    finally:
+        values.unpersist()
+    cols = list(zip(*rows)) or [[], [], []]
+    return small_table(spark, {by or "group": list(cols[0]), "prob": list(cols[1]), "quantile": list(cols[2])})
+
+
+def describe_groups(df: DataFrame, group: str, value: str, unit: str) -> DataFrame:
+    """A5: n, units, mean, sd, min, median, max by group."""
+    rows = df.where(F.col(group).isNotNull() & F.col(value).isNotNull())
+    out = rows.groupBy(group).agg(
+        F.count(value).alias("n"), F.countDistinct(unit).alias("units"), F.avg(value).alias("mean"),
+        F.stddev_samp(value).alias("sd"), F.min(value).alias("min"), F.max(value).alias("max"))
+    median = exact_quantiles(rows, value, [0.5], group).select(
+        F.col(group).alias("_g"), F.col("quantile").alias("median"))
+    return out.join(median, F.col(group).cast("string") == F.col("_g")).drop("_g")
+
+
+def quantile_bins(df: DataFrame, value: str, n: int = 4, name: str = "bin") -> DataFrame:
+    """Bin 1..n by exact cut points of the pooled distribution."""
+    cuts = exact_quantiles(df, value, [i / n for i in range(1, n)]).orderBy("prob").collect()
+    number = F.lit(1)
+    for c in cuts:
+        number = number + F.when(F.col(value) > c["quantile"], 1).otherwise(0)
+    return df.where(F.col(value).isNotNull()).withColumn(name, number)
+
+
+def describe_bins(df: DataFrame, value: str, by: str, unit: str, share: str, n: int = 4) -> DataFrame:
+    """Per quantile bin: range of `by`, n, units, mean, sd, mean of `by`, percent of `share`."""
+    rows = quantile_bins(df.where(F.col(value).isNotNull()), by, n)
+    return rows.groupBy("bin").agg(
+        F.min(by).alias("low"), F.max(by).alias("high"), F.count(F.lit(1)).alias("n"),
+        F.countDistinct(unit).alias("units"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"),
+        F.avg(by).alias("mean_by"), (F.avg(share) * 100.0).alias("pct"))
+
+
+def correlations(df: DataFrame, columns) -> DataFrame:
+    """Pairwise correlations over complete pairs, in one aggregate; lower triangle, long."""
+    pairs = list(combinations(columns, 2))
+    def pair(a, b):
+        both = F.col(a).isNotNull() & F.col(b).isNotNull()
+        return F.corr(F.when(both, F.col(a)).cast("double"), F.when(both, F.col(b)).cast("double"))
+    row = df.agg(F.array(*[F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), pair(a, b).alias("r"))
+                           for a, b in pairs]).alias("p"))
+    return row.select(F.explode("p").alias("p")).select("p.*")
+
+
+def weighted_moments(df: DataFrame, value: str, weight: str, by=()) -> DataFrame:
+    """Weighted mean and sd with denominator (sum of weights - 1)."""
+    rows = df.where(F.col(value).isNotNull() & F.col(weight).isNotNull())
+    x, w = F.col(value), F.col(weight)
+    out = rows.groupBy(*by).agg(F.sum(w).alias("w"), F.sum(w * x).alias("s"), F.sum(w * x * x).alias("q"),
+                                F.count(F.lit(1)).alias("n"))
+    mean = F.col("s") / F.col("w")
+    ss = F.greatest(F.col("q") - F.col("s") * mean, F.lit(0.0))
+    return out.select(*by, "n", mean.alias("mean"), F.sqrt(F.try_divide(ss, F.col("w") - 1)).alias("sd"))
+
+
+def column_profile(df: DataFrame, columns) -> DataFrame:
+    """Min, quartiles, mean, max, and missing count, one row per column."""
+    long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot(
+        [], list(columns), "column", "value")
+    base = long.groupBy("column").agg(
+        F.count("value").alias("n"), F.count_if(F.col("value").isNull()).alias("missing"),
+        F.min("value").alias("min"), F.avg("value").alias("mean"), F.max("value").alias("max"))
+    cuts = exact_quantiles(long, "value", [0.25, 0.5, 0.75], "column")
+    wide = cuts.groupBy("column").agg(*[F.max(F.when(F.col("prob") == p, F.col("quantile"))).alias(n)
+                                        for p, n in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))])
+    return base.join(wide, "column", "left")
+
+
+def largest_residuals(df: DataFrame, y: str, x: str, key: str, k: int = 8) -> DataFrame:
+    """The k rows furthest from the fitted line (ties by key); a top-k, not a ranking."""
+    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    line = rows.agg(F.struct(F.regr_slope(y, x).alias("b"), F.regr_intercept(y, x).alias("a")).alias("l")).scalar()
+    residual = F.col(y) - (line["a"] + line["b"] * F.col(x))
+    return rows.withColumn("residual", residual).orderBy(F.abs("residual").desc(), key).limit(k)
+
+
+def trend(df: DataFrame, time: str, group: str, value: str) -> DataFrame:
+    """A5: mean and count by time and group."""
+    return df.where(F.col(group).isNotNull() & F.col(value).isNotNull()).groupBy(time, group).agg(
+        F.avg(value).alias("mean"), F.count(F.lit(1)).alias("n"))
+
+
+def conditional_share(condition: Column) -> Column:
+    """A5: share of rows that meet a condition."""
+    return F.avg(F.when(condition, 1.0).otherwise(0.0))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, tuple[str, tuple[str, ...]]] = {}
 CTES: dict[str, tuple[tuple[str, ...], str]] = {}
 
 
@@ -56,10 +56,14 @@ def query(name: str, oracle: str | None = None, needs: tuple[str, ...] = ()):
             raise ValueError(f"query {name} is registered twice")
         QUERIES[name] = fn
         if oracle is not None:
-            ORACLES[name] = with_ctes(oracle, *needs)
+            ORACLES[name] = (oracle, needs)
         return fn
     return register
 
 
+def oracles() -> dict[str, str]:
+    return {name: with_ctes(sql, *needs) for name, (sql, needs) in ORACLES.items()}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
