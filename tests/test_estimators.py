@@ -150,7 +150,7 @@ def test_unique_history_has_no_matches(spark):
 
 def test_synthetic_control_recovers_weights(spark):
     rng = np.random.default_rng(7)
-    years, donors = range(2000, 2015), 40
+    years, donors = range(2000, 2015), 12
     paths = rng.normal(size=(donors, len(years))).cumsum(axis=1) + rng.normal(size=(donors, 1)) * 5
     rows = [(f"d{j}", y, 0, paths[j, k]) for j in range(donors) for k, y in enumerate(years)]
     mix = {"A": (0.3, 0, 0.7, 1), "B": (0.5, 5, 0.5, 9)}
