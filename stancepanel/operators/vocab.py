@@ -39,16 +39,20 @@ def exclude_terms(doc_terms: DataFrame, terms: DataFrame) -> DataFrame:
 
 
 def term_association(doc_terms: DataFrame, flags: DataFrame, name: str = "power_proximity",
-                     flag_column: str = "has_power_clause") -> DataFrame:
-    """V4: smoothed base-10 log-odds of a term in flagged against other documents."""
+                     flag_column: str = "has_power_clause", min_documents: int = 1) -> DataFrame:
+    """V4: smoothed base-10 log-odds of a term in flagged against other documents.
+
+    One aggregation by lemma gives the document frequency, for the floor, and
+    both counts; the frequent terms need not be found beforehand.
+    """
     sizes = flags.agg(F.struct(F.sum(flag_column).alias("a"),
                                (F.count(F.lit(1)) - F.sum(flag_column)).alias("b")).alias("s")).scalar()
     a, b = F.col("in_power_documents"), F.col("in_other_documents")
-    counts = doc_terms.join(flags.select("ut", flag_column), "ut").groupBy("lemma").agg(
-        F.count_if(F.col(flag_column) == 1).alias("in_power_documents"),
+    counts = doc_terms.join(flags.select("ut", flag_column), "ut", "left").groupBy("lemma").agg(
+        F.count(F.lit(1)).alias("_df"), F.count_if(F.col(flag_column) == 1).alias("in_power_documents"),
         F.count_if(F.col(flag_column) == 0).alias("in_other_documents"))
     odds = (F.log10((a + 0.5) / (sizes["a"] - a + 0.5)) - F.log10((b + 0.5) / (sizes["b"] - b + 0.5)))
-    return counts.withColumn(name, odds)
+    return counts.where((F.col("_df") >= min_documents) & (a + b > 0)).drop("_df").withColumn(name, odds)
 
 
 def document_score(doc_terms: DataFrame, scores: DataFrame, score: str = "power_proximity",

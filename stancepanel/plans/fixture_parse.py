@@ -7,12 +7,15 @@ Spark and in SQL. A head always precedes its token, so trees have no cycles.
 
 from __future__ import annotations
 
+import hashlib
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stancepanel.plans.registry import cte, table
 from stancepanel.sources.lexicon import power_lexicon, small_table, stance_lexicon, term_list
+from stancepanel.sources.tables import read_tokens, scratch_folder, stage
 
 TOKEN_PATTERN = "[A-Za-z]+|[0-9]+|[.,;:?!]"
 
@@ -62,8 +65,22 @@ def all_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
                        "upos", F.expr(DEPREL).alias("deprel"), F.expr(FEATS).alias("feats"))
 
 
+_STAGED: dict[tuple[str, str], str] = {}
+
+
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return all_tokens(spark, sf_dir).where(F.col("field") == "abstract")
+    """The token table as operators get it: Parquet, one row per token.
+
+    The parse is written once per application and input folder, so every query
+    scans a columnar table with pruning and pushdown instead of parsing again.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STAGED:
+        folder = scratch_folder(spark)
+        name = f"tokens-{key[0]}-{hashlib.md5(sf_dir.encode()).hexdigest()[:12]}"
+        stage(all_tokens(spark, sf_dir), name, folder)
+        _STAGED[key] = f"{folder}/{name}"
+    return read_tokens(spark, _STAGED[key])
 
 
 cte("line", """SELECT doc_id AS ut, unnest(string_split(text, chr(10))) AS line,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -61,12 +63,25 @@ def save_csv(df: DataFrame, path: str, order_by=(), single_file: bool = False,
 
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's shared scratch folder, from spark.checkpoint.dir."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = (spark.conf.get("spark.checkpoint.dir", None)
+              or spark.sparkContext.getConf().get("spark.checkpoint.dir"))
     if not folder:
         raise ValueError("spark.checkpoint.dir is not set; staging needs a shared folder")
     return folder.rstrip("/")
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """The shared folder; only a local master without one gets a temporary folder."""
+    try:
+        return shared_folder(spark)
+    except ValueError:
+        if not spark.sparkContext.master.startswith("local"):
+            raise
+        folder = tempfile.mkdtemp(prefix="stancepanel-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+        return folder
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     target = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
