@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from stancepanel.functions import fixed_values as fixed
 from stancepanel.functions.scalars import ends_with_any, flag, is_capitalised, zero_if_missing
 from stancepanel.operators.sentence import (
-    SENTENCE, lemma, match_stance, power_tokens, sentence_counts,
+    SENTENCE, lemma, match_stance, power_tokens, restrict_documents,
 )
 
 NODE = [*SENTENCE, "node"]
@@ -75,23 +75,50 @@ def power_mentions(tokens: DataFrame, power: DataFrame) -> DataFrame:
             .withColumn("inside_agent_phrase", flag(inside)).drop("_agent"))
 
 
-def _clause_nodes(tokens: DataFrame, power: DataFrame, methods: DataFrame) -> DataFrame:
-    deprel, verb = F.col("deprel"), F.col("upos").isin("VERB", "AUX")
+def _power_lookup(tokens: DataFrame, power: DataFrame) -> DataFrame:
+    """Tokens with `_strict` filled for nouns that are power terms."""
     terms = power.select(F.col("term").alias("_p"), F.col("in_strict_list").alias("_strict"))
-    verbs = methods.select(F.col("term").alias("_m")).distinct()
     noun = F.col("upos").isin("NOUN", "PROPN")
-    t = (tokens.join(terms, (lemma() == F.col("_p")) & noun, "left")
-         .where(deprel.isin(fixed.PASSIVE_SUBJECT, fixed.AGENT) | verb | F.col("_p").isNotNull())
+    return tokens.join(terms, (lemma() == F.col("_p")) & noun, "left").drop("_p")
+
+
+def _agent_own() -> dict[str, Column]:
+    return {"is_agent": _only(F.col("deprel") == fixed.AGENT)}
+
+
+def _power_child() -> dict[str, Column]:
+    return {"any_power": F.col("_strict"),
+            "free_power": _only(F.col("deprel") != fixed.AGENT, F.col("_strict"))}
+
+
+def _passive_child() -> dict[str, Column]:
+    return {"passive": _only(F.col("deprel") == fixed.PASSIVE_SUBJECT),
+            "agent": _only(F.col("deprel") == fixed.AGENT)}
+
+
+def _power_nodes(tokens: DataFrame, power: DataFrame) -> DataFrame:
+    """Nodes with power children or that are agents; few tokens take part."""
+    t = _power_lookup(tokens, power).where((F.col("deprel") == fixed.AGENT) | F.col("_strict").isNotNull())
+    return tree_nodes(t, own=_agent_own(), child=_power_child())
+
+
+def _passive_nodes(tokens: DataFrame, power: DataFrame) -> DataFrame:
+    """Nodes with passive, agent or power children."""
+    t = _power_lookup(tokens, power).where(
+        F.col("deprel").isin(fixed.PASSIVE_SUBJECT, fixed.AGENT) | F.col("_strict").isNotNull())
+    return tree_nodes(t, own=_agent_own(), child={**_passive_child(), **_power_child()})
+
+
+def _clause_nodes(tokens: DataFrame, power: DataFrame, methods: DataFrame) -> DataFrame:
+    """Nodes with passive, agent or power children, and the lemma of verbs."""
+    verb = F.col("upos").isin("VERB", "AUX")
+    verbs = methods.select(F.col("term").alias("_m")).distinct()
+    t = (_power_lookup(tokens, power)
+         .where(F.col("deprel").isin(fixed.PASSIVE_SUBJECT, fixed.AGENT) | verb | F.col("_strict").isNotNull())
          .join(verbs, (lemma() == F.col("_m")) & verb, "left"))
-    return tree_nodes(
-        t,
-        own={"is_agent": _only(deprel == fixed.AGENT),
-             "predicate_lemma": _only(verb, lemma()),
-             "methods": _only(verb, flag(F.col("_m").isNotNull()))},
-        child={"passive": _only(deprel == fixed.PASSIVE_SUBJECT),
-               "agent": _only(deprel == fixed.AGENT),
-               "any_power": F.col("_strict"),
-               "free_power": _only(deprel != fixed.AGENT, F.col("_strict"))})
+    own = {**_agent_own(), "predicate_lemma": _only(verb, lemma()),
+           "methods": _only(verb, flag(F.col("_m").isNotNull()))}
+    return tree_nodes(t, own=own, child={**_passive_child(), **_power_child()})
 
 
 def _outside(strict: str) -> Column:
@@ -110,12 +137,12 @@ def _power_flags(nodes: DataFrame) -> DataFrame:
 
 def power_sentence_flags(tokens: DataFrame, power: DataFrame) -> DataFrame:
     """C4: per sentence with a power term: strict, outside an agent phrase, both."""
-    return _power_flags(_clause_nodes(tokens, power, power.select("term").limit(0)))
+    return _power_flags(_power_nodes(tokens, power))
 
 
 def power_predicates(tokens: DataFrame, power: DataFrame) -> DataFrame:
     """Passive predicates with a power term as direct, non-agent argument."""
-    nodes = _clause_nodes(tokens, power, power.select("term").limit(0))
+    nodes = _passive_nodes(tokens, power)
     argument = _outside("free_power")
     return (nodes.where(F.col("passive").isNotNull() & argument.isNotNull())
             .select(*SENTENCE, F.col("node").alias("predicate_id"),
@@ -147,7 +174,7 @@ def clause_table(tokens: DataFrame, power: DataFrame, methods: DataFrame) -> Dat
                "has_power_lemma_strict": "power_sentence_keyword_strict",
                "has_power_lemma_outside_agent": "power_sentence_outside_agent",
                "has_power_lemma_outside_agent_strict": "power_sentence_outside_agent_strict"}
-    flags = _power_flags(nodes).withColumnsRenamed(renamed)
+    flags = power_sentence_flags(tokens, power).withColumnsRenamed(renamed)
     return clauses.join(flags, SENTENCE, "left").fillna(0, list(renamed.values()))
 
 
@@ -186,33 +213,27 @@ def actor_modified(tokens: DataFrame) -> DataFrame:
 def nominalisation_table(tokens: DataFrame, power: DataFrame, methods: DataFrame) -> DataFrame:
     """Nominalisations in documents with a power clause, with actor, clause and methods flags.
 
-    One tree aggregation gives each node its own kind and its children; a
-    nominalisation then looks its head up among the same nodes.
+    One tree aggregation over nominalisations and actor modifiers gives the
+    actor flag. Power clauses and methods verbs meet under their token id, and
+    a nominalisation looks its head up there.
     """
-    verb, noun = F.col("upos") == "VERB", F.col("upos").isin("NOUN", "PROPN")
-    terms = power.select(F.col("term").alias("_p"))
-    verbs = methods.select(F.col("term").alias("_m")).distinct()
-    documents = power_clause_documents(power_arguments(tokens, power))
-    t = (tokens.where(noun | (F.col("upos").isin("VERB", "AUX")))
-         .join(documents, "ut", "left_semi")
-         .join(terms, (lemma() == F.col("_p")) & noun, "left")
-         .join(verbs, (lemma() == F.col("_m")) & verb, "left"))
-    nodes = tree_nodes(
-        t,
-        own={"gerund": _only(is_nominalisation(), flag(lemma().endswith("ing"))),
-             "parent": _only(is_nominalisation(), F.col("head")),
-             "methods": _only(verb, flag(F.col("_m").isNotNull()))},
-        child={"actor": _only(noun & F.col("deprel").isin(fixed.ACTOR_RELATIONS)),
-               "power": _only(F.col("_p").isNotNull()
-                              & F.col("deprel").isin(fixed.ARGUMENT_RELATIONS))})
-    nominal = nodes.where(F.col("gerund").isNotNull()).select(
-        *SENTENCE, F.col("node").alias("tok_id"), F.col("parent").alias("predicate_id"),
-        F.col("gerund").alias("is_gerund"), flag(F.col("actor").isNotNull()).alias("actor_expressed"))
-    heads = (nodes.where(F.col("methods").isNotNull() | F.col("power").isNotNull())
-             .select(*SENTENCE, F.col("node").alias("predicate_id"),
-                     F.col("power").alias("in_power_clause"),
-                     F.col("methods").alias("is_methods_predicate")))
-    return (nominal.join(heads, [*SENTENCE, "predicate_id"], "left")
+    arguments = power_arguments(tokens, power)
+    actor = F.col("upos").isin("NOUN", "PROPN") & F.col("deprel").isin(fixed.ACTOR_RELATIONS)
+    nouns = restrict_documents(tokens.where(is_nominalisation() | actor), arguments)
+    nominal = tree_nodes(
+        nouns,
+        own={"is_gerund": _only(is_nominalisation(), flag(lemma().endswith("ing"))),
+             "predicate_id": _only(is_nominalisation(), F.col("head"))},
+        child={"actor": _only(actor)}).where(F.col("is_gerund").isNotNull())
+    verbs = predicate_lemmas(tokens.where(F.col("upos") == "VERB"), methods).where(
+        "predicate_is_methods_verb = 1").select(*SENTENCE, "predicate_id", F.lit(1).alias("is_methods_predicate"))
+    clauses = arguments.select(*SENTENCE, "predicate_id", F.lit(1).alias("in_power_clause"))
+    heads = clauses.unionByName(verbs, allowMissingColumns=True).groupBy(*SENTENCE, "predicate_id").agg(
+        F.max("in_power_clause").alias("in_power_clause"),
+        F.max("is_methods_predicate").alias("is_methods_predicate"))
+    return (nominal.select(*SENTENCE, F.col("node").alias("tok_id"), "predicate_id", "is_gerund",
+                           flag(F.col("actor").isNotNull()).alias("actor_expressed"))
+            .join(heads, [*SENTENCE, "predicate_id"], "left")
             .fillna(0, ["in_power_clause", "is_methods_predicate"]))
 
 
@@ -227,38 +248,47 @@ def clause_heads(tokens: DataFrame, keep=(), max_hops: int = 3,
 
     A sentence of ordinary length is gathered once and walked inside the row by
     position. A sentence with a token id above `max_in_memory` is never
-    gathered; its tokens follow their parents by equality joins. Both give the
-    same result, so the limit only bounds memory.
+    gathered whole; its tokens follow their parents by equality joins. Both
+    give the same result, so the limit only bounds memory. Whether there are
+    such sentences is looked up first, with a filter that the scan can prune.
     """
     slim = tokens.select(*SENTENCE, "tok_id", "head", is_clause_head().alias("is_head"), *keep)
-    long_ids = slim.where(F.col("tok_id") > max_in_memory).select(*SENTENCE).distinct()
-    short = slim.join(long_ids, SENTENCE, "left_anti")
-    long = slim.join(long_ids, SENTENCE, "left_semi")
-    return _walk_in_row(short, keep, max_hops).unionByName(_walk_by_join(long, keep, max_hops))
-
-
-def _walk_in_row(slim: DataFrame, keep, max_hops: int) -> DataFrame:
-    rows = F.array_sort(F.collect_list(F.struct("tok_id", "head", "is_head", *keep)))
-    sentence = slim.groupBy(*SENTENCE).agg(rows.alias("toks"))
-    n = F.size("toks")
+    walked = _walk_in_row(slim, keep, max_hops, max_in_memory)
+    beyond = slim.where(F.col("tok_id") > max_in_memory)
+    if beyond.isEmpty():
+        return walked
+    long = slim.join(beyond.select(*SENTENCE).distinct(), SENTENCE, "left_semi")
+    return walked.unionByName(_walk_by_join(long, keep, max_hops))
+
+
+def _walk_in_row(slim: DataFrame, keep, max_hops: int, max_in_memory: int) -> DataFrame:
+    small = F.col("tok_id") <= max_in_memory
+    rows = F.array_sort(F.collect_list(F.when(small, F.struct("tok_id", "head", "is_head", *keep))))
+    sentence = (slim.groupBy(*SENTENCE).agg(rows.alias("toks"), F.max("tok_id").alias("last"))
+                .where(F.col("last") <= max_in_memory))
     # Token ids 1..n without gaps make the position the id; otherwise look ids up.
-    dense = F.try_element_at("toks", n)["tok_id"] == n
-    by_id = F.when(~dense, F.map_from_entries(
-        F.transform("toks", lambda t: F.struct(t["tok_id"], t))))
-    sentence = sentence.withColumn("dense", dense).withColumn("by_id", by_id)
-
-    def parent(token_id):
-        return F.when(F.col("dense"), F.get("toks", token_id - 1)).otherwise(
-            F.try_element_at("by_id", token_id))
-
-    def head_from(node, hops):
-        here = F.when(node["is_head"], node["tok_id"])
-        return here if hops == 0 else F.coalesce(here, head_from(parent(node["head"]), hops - 1))
+    dense = F.size("toks") == F.col("last")
+    sentence = sentence.withColumns({
+        # `transform`, not field access: the optimizer would copy a field access into the walk.
+        "up": F.transform("toks", lambda t: t["head"]),
+        "top": F.transform("toks", lambda t: t["is_head"]), "dense": dense,
+        "place": F.when(~dense, F.map_from_entries(
+            F.transform("toks", lambda t, i: F.struct(t["tok_id"], i))))})
+
+    def place_of(token_id):
+        return F.when(F.col("dense"), token_id - 1).otherwise(F.try_element_at("place", token_id))
+
+    def found(token_id, hops):
+        at = place_of(token_id)
+        here = F.when(F.get("top", at), token_id)
+        return here if hops == 0 else F.coalesce(here, found(F.get("up", at), hops - 1))
 
     walked = F.transform("toks", lambda t: F.struct(
         t["tok_id"].alias("tok_id"), *[t[c].alias(c) for c in keep],
-        head_from(t, max_hops).alias("clause_head_id")))
-    return (sentence.select(*SENTENCE, F.explode(walked).alias("t")).select(*SENTENCE, "t.*")
+        F.coalesce(F.when(t["is_head"], t["tok_id"]),
+                   found(t["head"], max_hops - 1)).alias("clause_head_id")))
+    # The outer explode spares a size check that would run the walk a second time.
+    return (sentence.select(*SENTENCE, F.explode_outer(walked).alias("t")).select(*SENTENCE, "t.*")
             .where(F.col("clause_head_id").isNotNull()))
 
 
@@ -304,7 +334,7 @@ def document_clause_hedging(tokens: DataFrame, power: DataFrame, lexicon: DataFr
     Clause counts and power marks meet in one aggregation on the clause key.
     """
     arguments = power_arguments(tokens, power)
-    inside = tokens.join(power_clause_documents(arguments), "ut", "left_semi")
+    inside = restrict_documents(tokens, arguments)
     clauses = clause_words(inside, lexicon, **walk).withColumn("is_power", F.lit(None).cast("int"))
     marks = arguments.select(*SENTENCE, F.col("predicate_id").alias("clause_head_id"),
                              F.lit(1).alias("is_power"))
@@ -387,56 +417,68 @@ def document_specificity(mentions: DataFrame) -> DataFrame:
     return mentions.groupBy("ut").agg(*[F.count_if(c).alias(n) for n, c in counts.items()])
 
 
-def document_contrast(tokens: DataFrame, power: DataFrame, methods: DataFrame,
-                      lexicon: DataFrame) -> DataFrame:
+def sentence_profile(tokens: DataFrame, power: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """Per sentence: words and stance, power flags, and passive clauses with their agents.
+
+    Token counts and tree nodes meet in one aggregation on the sentence. All
+    clauses of a sentence share its flags, so nothing has to be joined.
+    """
+    counts = {c: flag(x) for c, x in {
+        "n_words": F.col("upos") != "PUNCT",
+        "n_hedge_core": (F.col("type") == "hedge") & (F.col("subtype") != "approximator"),
+        "n_booster_core": (F.col("type") == "booster") & (F.col("subtype") == "emphatic")}.items()}
+    words = match_stance(tokens, lexicon).select(*SENTENCE, "year", *[c.alias(n) for n, c in counts.items()])
+    outside = _outside("free_power")
+    passive, agent = F.col("passive").isNotNull(), F.col("agent").isNotNull()
+    clauses = {"n_passive": passive, "n_agent": passive & agent, "n_passive_pa": passive & outside.isNotNull(),
+               "n_agent_pa": passive & agent & outside.isNotNull()}
+    flags = {"has_power_lemma": F.col("any_power").isNotNull(), "has_power_lemma_strict": F.col("any_power") == 1,
+             "has_power_lemma_outside_agent": outside.isNotNull()}
+    nodes = _passive_nodes(tokens, power).select(
+        *SENTENCE, *[flag(c).alias(n) for n, c in {**clauses, **flags}.items()])
+    return words.unionByName(nodes, allowMissingColumns=True).groupBy(*SENTENCE).agg(
+        F.max("year").alias("year"), *[F.sum(n).alias(n) for n in counts],
+        *[F.sum(zero_if_missing(n)).alias(n) for n in clauses],
+        *[F.max(zero_if_missing(n)).alias(n) for n in flags])
+
+
+def document_contrast(tokens: DataFrame, power: DataFrame, lexicon: DataFrame) -> DataFrame:
     """Words, stance and passive clauses by side for each document.
 
-    Sentence counts and sentence flags meet in one aggregation per sentence,
-    then words and clauses in one aggregation per document. A document without
-    passive clauses has NULL clause counts.
+    A document without passive clauses has NULL clause counts.
     """
-    clauses = clause_table(tokens, power, methods)
-    sides = sentence_sides(tokens, power, lexicon)
-    measures = {"words": "n_words", "hedge": "n_hedge_core", "booster": "n_booster_core"}
     flags = {"kw": "has_power_lemma", "oa": "has_power_lemma_outside_agent"}
-    words = {"n_words_total": F.col("n_words")}
-    for tag, column in flags.items():
-        for side, value in (("power", 1), ("other", 0)):
-            for label, m in measures.items():
-                words[f"n_{label}_{side}_{tag}"] = F.when(F.col(column) == value, F.col(m)).otherwise(0)
+    sides = (("power", 1), ("other", 0))
+    measures = {"words": "n_words", "hedge": "n_hedge_core", "booster": "n_booster_core"}
+
+    def total(column, condition=None):
+        return F.sum(F.col(column) if condition is None else F.when(condition, F.col(column)).otherwise(0))
+    words = {"n_words_total": total("n_words")}
     passive = {}
-    for tag, column in zip(("kw", "oa", "pa"), DEFINITIONS.values()):
-        for side, value in (("power", 1), ("other", 0)):
-            hit = F.col(column) == value
-            passive[f"n_passive_{side}_{tag}"] = flag(hit)
-            passive[f"n_agent_{side}_{tag}"] = F.when(hit, F.col("agent_expressed")).otherwise(0)
-    rows = sides.select("ut", "year", *[c.alias(n) for n, c in words.items()]).unionByName(
-        clauses.select("ut", *[c.alias(n) for n, c in passive.items()]), allowMissingColumns=True)
-    return rows.groupBy("ut").agg(F.max("year").alias("year"),
-                                  *[F.sum(n).alias(n) for n in [*words, *passive]])
-
-
-def sentence_sides(tokens: DataFrame, power: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """Sentence counts with the three sentence-level power flags."""
-    flags = power_sentence_flags(tokens, power)
-    names = ["has_power_lemma", "has_power_lemma_outside_agent", "has_power_lemma_strict"]
-    return sentence_counts(tokens, lexicon).join(
-        flags.select(*SENTENCE, *names), SENTENCE, "left").fillna(0, names)
-
-
-def pooled_baseline(tokens: DataFrame, power: DataFrame, methods: DataFrame,
-                    lexicon: DataFrame) -> DataFrame:
+    for tag, column in flags.items():
+        for side, value in sides:
+            on = F.col(column) == value
+            words |= {f"n_{label}_{side}_{tag}": total(m, on) for label, m in measures.items()}
+            passive |= {f"n_passive_{side}_{tag}": total("n_passive", on), f"n_agent_{side}_{tag}": total("n_agent", on)}
+    for stem in ("passive", "agent"):
+        passive[f"n_{stem}_power_pa"] = total(f"n_{stem}_pa")
+        passive[f"n_{stem}_other_pa"] = total(f"n_{stem}") - total(f"n_{stem}_pa")
+    any_clause = total("n_passive") > 0
+    return sentence_profile(tokens, power, lexicon).groupBy("ut").agg(
+        F.max("year").alias("year"), *[c.alias(n) for n, c in words.items()],
+        *[F.when(any_clause, c).alias(n) for n, c in passive.items()])
+
+
+def pooled_baseline(tokens: DataFrame, power: DataFrame, lexicon: DataFrame) -> DataFrame:
     """A3: pooled rates for each definition and side of it."""
-    per_sentence = clause_table(tokens, power, methods).groupBy(*SENTENCE).agg(
-        F.count(F.lit(1)).alias("n_passive"), F.sum("agent_expressed").alias("n_agent"))
-    rows = sentence_sides(tokens, power, lexicon).join(per_sentence, SENTENCE, "left")
     variants = {"sentence_keyword": "has_power_lemma",
                 "sentence_outside_agent_phrase": "has_power_lemma_outside_agent",
                 "sentence_keyword_strict": "has_power_lemma_strict"}
-    passive = F.sum(zero_if_missing("n_passive"))
-    return fan_out(rows, variants).groupBy("definition", "is_power_side").agg(
+    rows = fan_out(sentence_profile(tokens, power, lexicon), variants)
+    passive = F.sum("n_passive")
+    return rows.groupBy("definition", "is_power_side").agg(
         F.count(F.lit(1)).alias("n_sentences"), passive.alias("n_passive_clauses"),
-        (1 - F.try_divide(F.sum(zero_if_missing("n_agent")), passive)).alias("agent_deletion_rate"),
+        (1 - F.try_divide(F.sum("n_agent"), passive)).alias("agent_deletion_rate"),
         F.try_divide(F.sum("n_hedge_core") * 1000.0, F.sum("n_words")).alias("hedges_per_1k_words"),
         F.try_divide(F.sum("n_booster_core") * 1000.0, F.sum("n_words")).alias("boosters_per_1k_words"))
 

@@ -125,12 +125,17 @@ def with_origin(papers: DataFrame, author: str = "daisng_id") -> DataFrame:
         "away", flag(F.col("iso3") != F.col("origin_iso3")))
 
 
-def author_types(moved: DataFrame, author: str = "daisng_id") -> DataFrame:
-    """Papers, moves and countries per author, and seen on both sides or not."""
-    return moved.groupBy(author).agg(
-        F.count(F.lit(1)).alias("n_papers"), F.max("away").alias("moved"),
-        F.countDistinct("iso3").alias("n_countries"),
-        flag(F.min("away") != F.max("away")).alias("both_sides"))
+def author_types(papers: DataFrame, author: str = "daisng_id") -> DataFrame:
+    """Papers, moves and countries per author, and seen on both sides or not.
+
+    Papers are first counted per author and country: an author has moved, and
+    is seen on both sides, exactly when there is more than one country.
+    """
+    per_country = papers.groupBy(author, "iso3").agg(F.count(F.lit(1)).alias("n"))
+    several = flag(F.count("iso3") > 1)
+    return per_country.groupBy(author).agg(
+        F.sum("n").alias("n_papers"), several.alias("moved"), F.count("iso3").alias("n_countries"),
+        several.alias("both_sides"))
 
 
 def origin_treatment(moved: DataFrame, treatment: str, name: str) -> DataFrame:

@@ -82,7 +82,7 @@ class FixedEffectsModel:
         self.dims = [*self.dummies, *self.effects]
         self.vcov = vcov or ("cluster" if cluster else "iid")
         self.cluster, self.min_rows, self.small_sample = cluster, min_rows, small_sample
-        self.z = [*self.x, y]
+        self.z, self.many = [*self.x, y], by is not None
         require_columns(df, [c for c in [*self.z, *self.absorb, *self.dims, weights, cluster, by] if c])
 
         rows = self._rows(df, weights, by).persist(StorageLevel.MEMORY_AND_DISK)
@@ -145,9 +145,13 @@ class FixedEffectsModel:
     def _coded(self, rows, means):
         """Rows with centred values and integer levels (-1: reference level)."""
         k = len(self.z)
-        table = small_table(self.spark, {"_by": list(means), **{
-            f"_m{i}": [float(m[2][i]) for m in means.values()] for i in range(k)}})
-        rows = rows.join(table, "_by")
+        if self.many:
+            table = small_table(self.spark, {"_by": list(means), **{
+                f"_m{i}": [float(m[2][i]) for m in means.values()] for i in range(k)}})
+            rows = rows.join(table, "_by")
+        else:
+            (only,) = means.values()
+            rows = rows.withColumns({f"_m{i}": F.lit(float(only[2][i])) for i in range(k)})
         for i, levels in enumerate(self.levels):
             codes = small_table(self.spark, {f"_l{i}": levels, f"_d{i}": list(range(len(levels)))},
                                 {f"_l{i}": pa.string(), f"_d{i}": pa.int32()})
@@ -498,18 +502,23 @@ class FixedEffectsModel:
 
         Only for models without regressors (the imputation estimator).
         """
-        unit, by_column = self.absorb[0], F.col(by) if by else F.lit("all")
-        out = df.withColumn("_by", by_column.cast("string"))
-        offsets = self.unit_offsets().select("_by", F.col("_a").alias(unit), F.element_at("_off", -1).alias("_u"))
-        means = small_table(self.spark, {"_by": [s.by for s in self.solutions],
-                                         "_m": [float(s.means[-1]) for s in self.solutions]},
-                            {"_by": pa.string(), "_m": pa.float64()})
-        out, fitted = out.join(offsets, ["_by", unit]).join(means, "_by"), F.col("_u") + F.col("_m")
+        unit, key = self.absorb[0], ["_by"] if by else []
+        out = df.withColumn("_by", F.col(by).cast("string")) if by else df
+        offsets = self.unit_offsets().select(*key, F.col("_a").alias(unit), F.element_at("_off", -1).alias("_u"))
+        out = out.join(offsets, [*key, unit])
+        if by:
+            means = small_table(self.spark, {"_by": [s.by for s in self.solutions],
+                                             "_m": [float(s.means[-1]) for s in self.solutions]},
+                                {"_by": pa.string(), "_m": pa.float64()})
+            out = out.join(means, "_by")
+        else:
+            out = out.withColumn("_m", F.lit(float(self.solutions[0].means[-1])))
+        fitted = F.col("_u") + F.col("_m")
         effects = self.level_effects().withColumnRenamed("model", "_by")
         for e in self.effects:
             part = effects.where(F.col("effect") == e).select(
-                "_by", F.col("level").alias(f"_k_{e}"), F.col("value").alias(f"_v_{e}"))
-            out = out.withColumn(f"_k_{e}", F.col(e).cast("string")).join(part, ["_by", f"_k_{e}"])
+                *key, F.col("level").alias(f"_k_{e}"), F.col("value").alias(f"_v_{e}"))
+            out = out.withColumn(f"_k_{e}", F.col(e).cast("string")).join(part, [*key, f"_k_{e}"])
             fitted = fitted + F.col(f"_v_{e}")
         return out.withColumn(name, fitted).drop(
             "_u", "_m", "_by", *[f"_k_{e}" for e in self.effects], *[f"_v_{e}" for e in self.effects])

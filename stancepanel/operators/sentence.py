@@ -116,9 +116,18 @@ def attach_sentence_flag(sentences: DataFrame, flagged: DataFrame,
             .withColumn(name, F.coalesce("_hit", F.lit(0))).drop("_hit"))
 
 
-def restrict_documents(tokens: DataFrame, documents: DataFrame, key: str = "ut") -> DataFrame:
-    """Tokens of the listed documents."""
-    return tokens.join(documents.select(key), key, "left_semi")
+def restrict_documents(tokens: DataFrame, documents: DataFrame, key: str = "ut",
+                       spread: int = 16) -> DataFrame:
+    """Tokens of the listed documents.
+
+    A document's sentences meet `spread` copies of its entry, so a document
+    that holds a large share of all tokens is not one task when the join
+    shuffles and later steps keep its partitioning.
+    """
+    copies = documents.select(key).distinct().withColumn(
+        "_part", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
+    return (tokens.withColumn("_part", F.pmod(F.col("sent_id"), F.lit(spread)))
+            .join(copies, [key, "_part"], "left_semi").drop("_part"))
 
 
 def power_tokens(tokens: DataFrame, power: DataFrame) -> DataFrame:

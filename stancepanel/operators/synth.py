@@ -41,39 +41,50 @@ def treated_units(panel: DataFrame, unit: str, time: str, treatment: str) -> Dat
     ).where(F.col("treat_year").isNotNull())
 
 
-def pre_period_coverage(panel: DataFrame, unit: str, time: str, treatment: str, outcome: str) -> DataFrame:
-    """H3: per treated unit and candidate (itself or a donor): pre years and observed outcomes.
-
-    Outcomes are first counted per unit and year prefix, so a treated unit
-    meets each donor once, not once per year.
+def _windows(treated: DataFrame, time: str, max_windows: int = 100_000) -> DataFrame:
+    """Distinct pre-treatment windows, one row per window and year (a small local table)."""
+    got = treated.select("first_year", "treat_year").distinct().limit(max_windows + 1).collect()
+    if len(got) > max_windows:
+        raise ValueError("too many distinct pre-treatment windows")
+    rows = [(r[0], r[1], t) for r in got for t in range(r[0], r[1])]
+    cols = list(zip(*rows)) or [[], [], []]
+    return small_table(treated.sparkSession, dict(zip(("first_year", "treat_year", time), map(list, cols))),
+                       {c: pa.int32() for c in ("first_year", "treat_year", time)})
+
+
+def _pre_period(panel: DataFrame, unit: str, time: str, treatment: str, outcome: str) -> DataFrame:
+    """Outcomes before treatment: of treated units, and of donors in each distinct window.
+
+    Treated units that share a window share its donors, so treated units and
+    donors are never paired.
     """
-    treated = treated_units(panel, unit, time, treatment).withColumnRenamed(unit, "treated")
-    series = panel.join(donor_pool(panel, unit, treatment), unit, "left_semi").unionByName(
-        panel.join(treated.select(F.col("treated").alias(unit)), unit, "left_semi"))
-    years = treated.withColumn(time, F.explode(F.sequence(F.col("first_year"), F.col("treat_year") - 1)))
-    role = F.when(F.col(unit) == F.col("treated"), "treated").otherwise("donor")
-    seen = series.where(F.col(outcome).isNotNull()).select(unit, time, F.col(treatment).alias("_d"))
-    pool = donor_pool(panel, unit, treatment).withColumn("_pool", F.lit(1))
-    return (years.join(seen, time).join(pool, unit, "left").withColumn("role", role)
-            .where((F.col("role") == "treated") | F.col("_pool").isNotNull())
-            .groupBy("treated", unit, "role", (F.col("treat_year") - F.col("first_year")).alias("n_pre"))
-            .agg(F.count(F.lit(1)).alias("n_observed")))
+    treated = treated_units(panel, unit, time, treatment)
+    own = panel.join(treated, unit).where(F.col(time) < F.col("treat_year")).withColumn("role", F.lit("treated"))
+    pool = panel.join(donor_pool(panel, unit, treatment), unit, "left_semi")
+    donors = pool.join(_windows(treated, time), time).withColumn("role", F.lit("donor"))
+    keep = ["first_year", "treat_year", unit, "role", outcome]
+    return own.select(*keep).unionByName(donors.select(*keep))
+
+
+def pre_period_coverage(panel: DataFrame, unit: str, time: str, treatment: str, outcome: str) -> DataFrame:
+    """H3: per pre-treatment window and unit (treated or donor): its years and observed outcomes."""
+    rows = _pre_period(panel, unit, time, treatment, outcome)
+    return rows.groupBy("first_year", "treat_year", unit, "role").agg(F.count(outcome).alias("n_observed")).withColumn(
+        "n_pre", F.col("treat_year") - F.col("first_year"))
 
 
 def eligible(coverage: DataFrame, max_missing_treated: int = 2) -> DataFrame:
     """H3: treated units with few gaps; donors without any."""
     allowed = F.when(F.col("role") == "treated", max_missing_treated).otherwise(0)
-    return coverage.where(F.col("n_pre") - F.col("n_observed") <= allowed)
+    return coverage.where((F.col("n_pre") - F.col("n_observed") <= allowed) & (F.col("n_observed") > 0))
 
 
 def pre_means(panel: DataFrame, coverage: DataFrame, unit: str, time: str, treatment: str,
               outcome: str) -> DataFrame:
-    """H4: mean outcome before treatment for each eligible unit of each treated case."""
-    treated = treated_units(panel, unit, time, treatment).withColumnRenamed(unit, "treated")
-    kept = coverage.select("treated", unit, "role").join(treated, "treated")
-    return (kept.withColumn(time, F.explode(F.sequence(F.col("first_year"), F.col("treat_year") - 1)))
-            .join(panel.select(unit, time, outcome), [unit, time])
-            .groupBy("treated", unit, "role").agg(F.avg(outcome).alias("pre_mean")))
+    """H4: mean outcome before treatment for each eligible unit and window."""
+    keys = ["first_year", "treat_year", unit, "role"]
+    return (_pre_period(panel, unit, time, treatment, outcome).groupBy(*keys)
+            .agg(F.avg(outcome).alias("pre_mean")).join(coverage.select(*keys), keys, "left_semi"))
 
 
 def least_norm_weights(columns: np.ndarray, tol: float = 1e-12) -> np.ndarray:

@@ -55,9 +55,11 @@ def spread(df: DataFrame, key: str) -> DataFrame:
 def all_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").where(F.col("lang") == "en").select(
         F.col("doc_id").alias("ut"), "text")
-    lines = spread(docs, "ut").select("ut", F.posexplode(F.split("text", "\n")).alias("sent_id", "line"))
+    # Outer explodes: an inner one makes Spark split the text twice, to check for empty arrays.
+    lines = spread(docs, "ut").select("ut", F.posexplode_outer(F.split("text", "\n")).alias("sent_id", "line"))
     found = F.regexp_extract_all("line", F.lit(TOKEN_PATTERN), F.lit(0))
-    toks = (lines.select("ut", "sent_id", F.posexplode(found).alias("p", "text"))
+    toks = (lines.select("ut", "sent_id", F.posexplode_outer(found).alias("p", "text"))
+            .where(F.col("text").isNotNull())
             .withColumns({"tok_id": F.col("p") + 1, "w": F.lower("text")})
             .withColumn("n", F.length("w")).withColumn("upos", F.expr(UPOS)))
     return toks.select("ut", F.expr(YEAR).alias("year"), F.expr(FIELD).alias("field"), "sent_id",

@@ -648,9 +648,12 @@ cte("hole", """SELECT unit, year, CASE WHEN unit % 7 = 3 AND year = 1996 OR unit
 cte("cases", """SELECT unit AS treated, min(year) AS first_year, min(year) FILTER (d = 1) AS treat_year FROM hole
   GROUP BY 1 HAVING max(d) = 1""", "hole")
 cte("pool", "SELECT unit FROM hole GROUP BY 1 HAVING max(d) = 0", "hole")
-cte("coverage", """SELECT treated, unit, CASE WHEN unit = treated THEN 'treated' ELSE 'donor' END AS role,
-  treat_year - first_year AS n_pre, count(y) AS n_observed FROM cases JOIN hole ON year >= first_year AND year < treat_year
-  WHERE (unit = treated OR unit IN (SELECT unit FROM pool)) GROUP BY 1, 2, 3, 4 HAVING count(y) > 0""", "cases", "hole", "pool")
+cte("pre", """SELECT first_year, treat_year, h.unit, 'treated' AS role, y FROM cases c JOIN hole h ON h.unit = c.treated
+  AND year >= first_year AND year < treat_year UNION ALL SELECT first_year, treat_year, unit, 'donor', y FROM
+  (SELECT DISTINCT first_year, treat_year FROM cases) JOIN (SELECT * FROM hole SEMI JOIN pool USING (unit)) h
+  ON year >= first_year AND year < treat_year""", "cases", "hole", "pool")
+cte("coverage", """SELECT first_year, treat_year, unit, role, treat_year - first_year AS n_pre, count(y) AS n_observed
+  FROM pre GROUP BY 1, 2, 3, 4 HAVING count(y) > 0""", "pre")
 cte("eligible", "SELECT * FROM coverage WHERE n_pre - n_observed <= CASE WHEN role = 'treated' THEN 2 ELSE 0 END", "coverage")
 
 
@@ -680,9 +683,8 @@ def h3(spark, d):
     return sy.eligible(coverage(spark, d))
 
 
-@query("h4_pre_period_means", f"""SELECT e.treated, e.unit, e.role, {R('avg(y)')} AS pre_mean FROM eligible e JOIN cases c
-  ON e.treated = c.treated JOIN hole h ON h.unit = e.unit AND h.year >= first_year AND h.year < treat_year GROUP BY 1, 2, 3""",
-       ("eligible", "cases", "hole"))
+@query("h4_pre_period_means", f"""SELECT p.first_year, p.treat_year, p.unit, p.role, {R('avg(y)')} AS pre_mean
+  FROM pre p SEMI JOIN eligible e USING (first_year, treat_year, unit, role) GROUP BY 1, 2, 3, 4""", ("eligible", "pre"))
 def h4(spark, d):
     return rounded(sy.pre_means(holes(spark, d), sy.eligible(coverage(spark, d)), "unit", "year", "d", "y"))
 
