@@ -266,29 +266,28 @@ def _walk_in_row(slim: DataFrame, keep, max_hops: int, max_in_memory: int) -> Da
     rows = F.array_sort(F.collect_list(F.when(small, F.struct("tok_id", "head", "is_head", *keep))))
     sentence = (slim.groupBy(*SENTENCE).agg(rows.alias("toks"), F.max("tok_id").alias("last"))
                 .where(F.col("last") <= max_in_memory))
-    # Token ids 1..n without gaps make the position the id; otherwise look ids up.
+    # Token ids 1..n without gaps make the id the position; otherwise look positions up.
     dense = F.size("toks") == F.col("last")
-    sentence = sentence.withColumns({
-        # `transform`, not field access: the optimizer would copy a field access into the walk.
-        "up": F.transform("toks", lambda t: t["head"]),
-        "top": F.transform("toks", lambda t: t["is_head"]), "dense": dense,
-        "place": F.when(~dense, F.map_from_entries(
-            F.transform("toks", lambda t, i: F.struct(t["tok_id"], i))))})
-
-    def place_of(token_id):
-        return F.when(F.col("dense"), token_id - 1).otherwise(F.try_element_at("place", token_id))
-
-    def found(token_id, hops):
-        at = place_of(token_id)
-        here = F.when(F.get("top", at), token_id)
-        return here if hops == 0 else F.coalesce(here, found(F.get("up", at), hops - 1))
-
-    walked = F.transform("toks", lambda t: F.struct(
-        t["tok_id"].alias("tok_id"), *[t[c].alias(c) for c in keep],
-        F.coalesce(F.when(t["is_head"], t["tok_id"]),
-                   found(t["head"], max_hops - 1)).alias("clause_head_id")))
+    place = F.when(~dense, F.map_from_entries(F.transform("toks", lambda t, i: F.struct(t["tok_id"], i))))
+    sentence = sentence.withColumn("place", place).withColumns({
+        "top": F.transform("toks", lambda t: t["is_head"]),
+        "up": F.when(F.col("place").isNull(), F.transform("toks", lambda t: t["head"] - 1)).otherwise(
+            F.transform("toks", lambda t: F.try_element_at("place", t["head"])))})
+    # All tokens step up together, one parent per round, and stay at a head.
+    sentence = sentence.withColumn("at", F.transform("top", lambda is_head, i: i))
+    for _ in range(max_hops):
+        sentence = sentence.withColumn("at", F.transform(
+            "at", lambda p: F.when(F.get("top", p), p).otherwise(F.get("up", p))))
+
+    # `at` is an argument of zip_with, not a column inside the lambda: the optimizer would copy
+    # its definition into the lambda and run all rounds again for every token.
+    def row(t, end):
+        return F.struct(t["tok_id"].alias("tok_id"), *[t[c].alias(c) for c in keep],
+                        F.when(F.get("top", end), F.get("toks", end)["tok_id"]).alias("clause_head_id"))
+
     # The outer explode spares a size check that would run the walk a second time.
-    return (sentence.select(*SENTENCE, F.explode_outer(walked).alias("t")).select(*SENTENCE, "t.*")
+    walked = F.explode_outer(F.zip_with("toks", "at", row)).alias("t")
+    return (sentence.select(*SENTENCE, walked).select(*SENTENCE, "t.*")
             .where(F.col("clause_head_id").isNotNull()))
 
 
