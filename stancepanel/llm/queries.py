@@ -7,7 +7,18 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from stancepanel.llm import best_fit_packing, html_text, quality_classifier, secret_scans, token_counts, toxicity
+from stancepanel.llm import (
+    best_fit_packing,
+    decontamination,
+    html_text,
+    order_minhash,
+    quality_classifier,
+    secret_scans,
+    simhash,
+    suffix_dedup,
+    token_counts,
+    toxicity,
+)
 from stancepanel.llm.common import read
 
 
@@ -23,21 +34,38 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_copies(read(spark, sf_dir, "documents"))
+
+
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(read(spark, sf_dir, "pages"))
 
 
+def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scans.scan(read(spark, sf_dir, "documents"))
 
 
+def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(read(spark, sf_dir, "documents"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.order_minhash(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_classifier, op2_token_counts, op3_best_fit_packing, op5_html_extraction,
-                            op7_secret_scans, op9_toxicity)}
+    f.__name__: f for f in (op1_quality_classifier, op2_token_counts, op3_best_fit_packing,
+                            op4_simhash_near_dedup, op5_html_extraction, op6_benchmark_decontamination,
+                            op7_secret_scans, op8_suffix_array_dedup, op9_toxicity, op10_document_fingerprints)}
 
 #: Equivalent SQL, where SQL can state the operator. The others are tested against brute force in tests/llm.
 ORACLES: dict[str, str] = {}
