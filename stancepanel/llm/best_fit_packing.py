@@ -6,6 +6,7 @@ made from one small histogram; Spark numbers the pieces of every length and join
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections import defaultdict
@@ -206,20 +207,21 @@ def assignments(patterns: list[Pattern]) -> list[tuple[int, int, int, int, int]]
     return rows
 
 
-def pack(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int = 0, group_rows: int = 2000,
+def pack(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int = 0, group_rows: int = 500,
          id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     A document is its ids and one end id, so a null or empty text is one piece of length 1. Pieces of repeated rows or
     repeated keys are packed each for itself; ties are broken by doc_id and piece. Null keys are kept. An empty table
-    gives an empty result. Pieces of one length are numbered in groups of about `group_rows` by the hash of their key,
-    so no length has to be in one task.
+    gives an empty result. Pieces of one length are numbered in groups by the hash of their key, of about `group_rows`
+    or the square root of their number, whichever is more: no length has to be in one task, and groups are few too.
     """
     spark = docs.sparkSession
     cut = stage(pieces(docs, vocabulary, capacity, end_id, id_col, text_col), "pieces")
     counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    groups = max(1, -(-max(counts.values(), default=0) // group_rows))
-    salted = cut.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)))
+    parts = spark.createDataFrame([(x, -(-n // max(group_rows, math.isqrt(n)))) for x, n in counts.items()],
+                                  "length long, parts long")  # one row for each length
+    salted = cut.join(F.broadcast(parts), "length").withColumn("part", F.pmod(F.xxhash64("doc_id", "piece"), "parts"))
     sizes = salted.groupBy("length", "part").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     firsts = sizes.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))

@@ -21,13 +21,14 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     for _ in range(rounds):
         # Large star: every neighbour above a node goes to the smallest of the node and its neighbours.
         around = current.select("node", "to").unionAll(current.select(F.col("to").alias("node"), F.col("node").alias("to")))
-        lowest = around.groupBy("node").agg(F.min("to").alias("low")).select(
-            "node", F.least("node", "low").alias("low"))
+        # The minima are written, so that the join reads both sides as they are and Spark can split a hot node's rows.
+        lowest = stage(around.groupBy("node").agg(F.min("to").alias("low")).select(
+            "node", F.least("node", "low").alias("low")), "lowest")
         large = (around.join(lowest, "node").where(F.col("to") > F.col("node"))
                  .select(F.col("to").alias("node"), F.col("low").alias("to")).distinct())
         large = stage(large, "links")
         # Small star: a node and its smaller neighbours go to the smallest of these.
-        least = large.groupBy("node").agg(F.min("to").alias("low"))
+        least = stage(large.groupBy("node").agg(F.min("to").alias("low")), "lowest")
         small = (large.join(least, "node")
                  .select(F.explode(F.array(F.struct("node", F.col("low").alias("to")),
                                            F.struct(F.col("to").alias("node"), F.col("low").alias("to")))).alias("l"))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stancepanel.llm.common import arrow_map, id_and_text, in_fold
+from stancepanel.llm.common import arrow_map, id_and_text, in_fold, stage
 from stancepanel.llm.quality_classifier import labelled_sample
 
 WORD = re.compile(r"[^\W\d_]+(?:[*@$!013457][^\W\d_]+)*")
@@ -277,7 +277,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, bound: int = 6000, max_char
 
     Without labels of both kinds the lexicon is empty and every text gets the same score.
     """
-    sample = labelled_sample(docs, labels, "toxic", bound, max_chars)
+    sample = stage(labelled_sample(docs, labels, "toxic", bound, max_chars), "toxic-sample")
     model = ToxicityModel(learn_lexicon(sample))
     rows = sample.toArrow()
     y = np.array(rows.column("y").to_pylist(), np.float64)
