@@ -277,10 +277,10 @@ def windows_of_big_groups(contexts: DataFrame) -> DataFrame:
     return possible.join(several, ["gram", "lo", "same"], "left_semi").select("r1", "r2", "pos", "lo", F.col("lo").alias("hi"))
 
 
-def repeated_windows(rows: DataFrame, most_classes: int = 1500) -> DataFrame:
+def repeated_windows(rows: DataFrame, most_classes: int = 20_000) -> DataFrame:
     """r1, r2, pos, lo, hi: every window of a text that starts anywhere else too, as runs beside anchors.
 
-    Groups with more than `most_classes` different contexts are not gathered in one task.
+    Groups with more than `most_classes` different contexts (of 336 bytes each) are not gathered in one task.
     """
     found = stage(anchors(rows), "anchors")
     classes = found.groupBy("gram", "class").agg(F.count("*").alias("n"),
@@ -300,7 +300,7 @@ def repeated_windows(rows: DataFrame, most_classes: int = 1500) -> DataFrame:
     return copies.unionAll(few).unionAll(many)
 
 
-def remove_repeats(docs: DataFrame, most_classes: int = 1500, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, most_classes: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256: texts without the bytes of repeated 200-byte strings.
 
     Texts are UTF-8 bytes; a null text is empty; texts under 200 bytes and empty ones lose nothing. Copies of a text in
