@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-BINS, PER_TUPLE, SELECTED = 32, 2, 96
+BINS, PER_TUPLE, SELECTED = 64, 2, 160
 PLACE_BITS = 24
 HASH = -(1 << PLACE_BITS)  # mask of a k-mer's hash; the low bits hold its place in the text
 PLACE = (1 << PLACE_BITS) - 1
