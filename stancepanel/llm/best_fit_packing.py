@@ -27,7 +27,7 @@ Pattern = tuple[tuple[int, ...], int]
 class Encoder:
     """Ids of texts in one Python process, as little-endian bytes. Ids of distinct words are remembered."""
 
-    def __init__(self, path: str, remembered: int = 600_000):
+    def __init__(self, path: str, remembered: int = 1_500_000):
         import regex
         from tokenizers import Tokenizer
 
@@ -49,16 +49,14 @@ class Encoder:
             for w, e in zip(part, self.library.encode_batch(part, add_special_tokens=False)):
                 self.known[w] = np.array(e.ids, "<u4").tobytes()
         plain = [w for w in new if w not in self.known]
-        # A lower-cased word that is not one of the remembered ones often is the same as another one.
-        lower = {w: None for w in (x.lower() for x in plain)}
-        split = [self.pattern.findall(w) for w in lower]
-        ids, sizes = self.merger.encode([p.encode() for pieces in split for p in pieces])
-        raw, sizes = ids.astype("<u4").tobytes(), sizes.tolist()
-        piece = at = 0
-        for w, pieces in zip(lower, split):
-            n = 4 * sum(sizes[piece:piece + len(pieces)])
-            lower[w] = raw[at:at + n]
-            piece, at = piece + len(pieces), at + n
+        lower = dict.fromkeys(w.lower() for w in plain)
+        number: dict[str, int] = {}
+        split = [[number.setdefault(p, len(number)) for p in self.pattern.findall(w)] for w in lower]
+        ids, sizes = self.merger.encode([p.encode() for p in number])
+        raw, edge = ids.astype("<u4").tobytes(), [0, *(4 * np.cumsum(sizes)).tolist()]
+        cut = [raw[i:j] for i, j in zip(edge, edge[1:])]
+        for w, own in zip(lower, split):
+            lower[w] = cut[own[0]] if len(own) == 1 else b"".join([cut[i] for i in own])
         for w in plain:
             self.known[w] = lower[w.lower()]
         get = self.known.__getitem__

@@ -13,6 +13,7 @@ import json
 import numpy as np
 
 NEVER = np.iinfo(np.int64).max
+SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def byte_characters() -> list[str]:
@@ -44,8 +45,44 @@ class RankMerger:
         pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         keys = np.array([vocab[a] * self.base + vocab[b] for a, b in pairs], dtype=np.int64)
         made = np.array([vocab[a + b] for a, b in pairs], dtype=np.int64)
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.ranks, self.made = keys[order], order.astype(np.int64), made
+        self.made = made
+        self._hash(keys)
+
+    def _hash(self, keys: np.ndarray) -> None:
+        """An open-addressing table from pair to rank, four times as large as it needs to be."""
+        self.bits = int(4 * len(keys) + 1).bit_length()
+        self.slot_key = np.full(1 << self.bits, -1, np.int64)
+        self.slot_rank = np.full(1 << self.bits, NEVER, np.int64)
+        rank, slot = np.arange(len(keys)), self._slot(keys)
+        self.probes = 0
+        while len(rank):  # every free slot takes the first pair that asks for it, the others go one slot on
+            self.probes += 1
+            free = self.slot_key[slot] < 0
+            taken, first = np.unique(slot[free], return_index=True)
+            who = rank[free][first]
+            self.slot_key[taken], self.slot_rank[taken] = keys[who], who
+            left = ~np.isin(rank, who)
+            rank, slot = rank[left], (slot[left] + 1) & ((1 << self.bits) - 1)
+
+    def _slot(self, pair: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return (pair.astype(np.uint64) * SPREAD >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def lookup(self, pair: np.ndarray) -> np.ndarray:
+        """Rank of each pair, NEVER for pairs that do not merge."""
+        slot = self._slot(pair)
+        held = self.slot_key[slot]
+        rank = np.where(held == pair, self.slot_rank[slot], NEVER)
+        open_ = np.flatnonzero((held != pair) & (held >= 0))
+        for _ in range(self.probes - 1):
+            if not len(open_):
+                break
+            slot_ = slot[open_] = (slot[open_] + 1) & ((1 << self.bits) - 1)
+            held = self.slot_key[slot_]
+            hit = held == pair[open_]
+            rank[open_[hit]] = self.slot_rank[slot_[hit]]
+            open_ = open_[~hit & (held >= 0)]
+        return rank
 
     def encode(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Token ids of all pre-tokens in a row, and the number of ids of each. Pre-tokens are not empty."""
@@ -61,10 +98,8 @@ class RankMerger:
         while len(ids):
             rank = np.full(len(ids), NEVER)
             if len(ids) > 1:
-                pair = ids[:-1] * self.base + ids[1:]
-                at = np.minimum(np.searchsorted(self.keys, pair), len(self.keys) - 1)
-                known = (self.keys[at] == pair) & (owner[:-1] == owner[1:])
-                rank[:-1] = np.where(known, self.ranks[at], NEVER)
+                pair = np.where(owner[:-1] == owner[1:], ids[:-1] * self.base + ids[1:], -2)
+                rank[:-1] = self.lookup(pair)
             first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
             lowest = np.minimum.reduceat(rank, first)
             sizes = np.diff(np.r_[first, len(ids)])

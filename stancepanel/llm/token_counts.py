@@ -20,7 +20,7 @@ STABLE = "՗"
 class Counter:
     """Counts tokens in one Python process. Counts of distinct words are remembered, in bounded memory."""
 
-    def __init__(self, path: str, remembered: int = 1_000_000):
+    def __init__(self, path: str, remembered: int = 1_500_000):
         import regex
         from tokenizers import Tokenizer
 
