@@ -30,19 +30,42 @@ from stancepanel.sources.tables import require_columns
 TOLERANCE = 1e-9
 
 
+def _log_beta_half(a: float) -> float:
+    """log B(a, 1/2). The two large log-gammas are replaced by their asymptotic difference where they would cancel."""
+    if a < 1e5:
+        return math.lgamma(a) + math.lgamma(0.5) - math.lgamma(a + 0.5)
+    return math.lgamma(0.5) - 0.5 * math.log(a) + 1 / (8 * a) - 1 / (192 * a ** 3)
+
+
+def _beta_fraction(x: float, a: float, b: float) -> float:
+    """The continued fraction of the incomplete beta function, from the front until it no longer changes."""
+    tiny = 1e-300
+    c, d = 1.0, 1 - (a + b) * x / (a + 1)
+    d = 1 / (d if abs(d) > tiny else tiny)
+    value, m = d, 1
+    while True:
+        for top in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)),
+                    -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d, c = 1 + top * d, 1 + top / c
+            d = 1 / (d if abs(d) > tiny else tiny)
+            c = c if abs(c) > tiny else tiny
+            value *= c * d
+        if abs(c * d - 1) < 1e-15 or m > 10_000_000:
+            return value
+        m += 1
+
+
 def t_p_value(t: float, df: float) -> float:
-    """Two-sided p of Student's t by quadrature over the angle atan(t / sqrt(df))."""
+    """Two-sided p of Student's t: the incomplete beta function of df / (df + t^2) at (df / 2, 1 / 2)."""
     if not (math.isfinite(t) and df > 0):
         return float("nan")
-    if df > 5000:
-        return math.erfc(abs(t) / math.sqrt(2))
-    nodes, weights = np.polynomial.legendre.leggauss(400)
-    low = math.atan(abs(t) / math.sqrt(df))
-    half = (math.pi / 2 - low) / 2
-    theta = low + half * (nodes + 1)
-    area = half * float(np.sum(weights * np.cos(theta) ** (df - 1)))
-    log_norm = 0.5 * math.log(math.pi) + math.lgamma(df / 2) - math.lgamma((df + 1) / 2)
-    return min(1.0, 2 * area / math.exp(log_norm))
+    a, rest = df / 2, t * t / (df + t * t)
+    if rest == 0:
+        return 1.0
+    front = math.exp(a * math.log1p(-rest) + 0.5 * math.log(rest) - _log_beta_half(a))
+    if 1 - rest < (a + 1) / (a + 2.5):
+        return min(1.0, front * _beta_fraction(1 - rest, a, 0.5) / a)
+    return max(0.0, 1 - front * _beta_fraction(rest, 0.5, a) / 0.5)
 
 
 @dataclass

@@ -5,8 +5,12 @@ from __future__ import annotations
 from functools import reduce
 from itertools import combinations
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stancepanel.sources.lexicon import small_table
 
@@ -28,56 +32,83 @@ def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def exact_quantiles(df: DataFrame, value: str, probs, by: str | None = None, buckets: int = 256,
-                    max_groups: int = 10_000) -> DataFrame:
+@F.pandas_udf(T.LongType())
+def _ordered(values: pd.Series) -> pd.Series:
+    """The bits of a double as a whole number in the same order; -0.0 counts as 0.0, NaN comes last."""
+    v = values.to_numpy(np.float64) + 0.0
+    bits = np.where(np.isnan(v), np.nan, v).view(np.int64)
+    return pd.Series(np.where(bits < 0, bits ^ np.int64(2**63 - 1), bits))
+
+
+def _double(bits: int) -> float:
+    raw = np.int64(bits)
+    return float((raw ^ np.int64(2**63 - 1) if raw < 0 else raw).view(np.float64))
+
+
+def exact_quantiles(df: DataFrame, value: str, probs, by: str | None = None) -> DataFrame:
     """Exact interpolated quantiles without gathering or sorting a group.
 
-    Each wanted rank is bracketed by two data values. A pass counts the values
-    of the bracket in equal-width buckets (a partial aggregate), keeps the
-    bucket that holds the rank and takes its own minimum and maximum as the
-    next bracket, until both are the same value. Only counts reach the driver.
+    Values are taken as whole numbers in the same order. Each wanted rank is narrowed down eight bits at a time: the
+    values that share the bits found so far are counted by their next eight bits, at most 256 counts for a rank. So
+    there are eight passes at most, whatever the values are, infinite ones too. Null groups stay apart from all others.
+    The counts of the groups reach the driver, not their values.
     """
     spark = df.sparkSession
-    group = F.col(by).cast("string") if by else F.lit("all")
+    group = F.struct(F.col(by).isNull().alias("none"), F.coalesce(F.col(by).cast("string"), F.lit("")).alias("name")
+                     ) if by else F.struct(F.lit(False).alias("none"), F.lit("all").alias("name"))
     values = df.where(F.col(value).isNotNull()).select(
-        F.coalesce(group, F.lit("NULL")).alias("g"), F.col(value).cast("double").alias("v")).persist()
+        group.alias("g"), _ordered(F.col(value).cast("double")).alias("b")).persist()
     try:
-        ends = values.groupBy("g").agg(F.count("v").alias("n"), F.min("v").alias("lo"),
-                                       F.max("v").alias("hi")).limit(max_groups + 1).collect()
-        if len(ends) > max_groups:
-            raise ValueError(f"more than {max_groups} groups")
-        ranks = {}
-        for r in ends:
+        sizes = values.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.min("b").alias("lo"), F.max("b").alias("hi"))
+        ends = {tuple(r["g"]): (r["n"], r["lo"], r["hi"]) for r in sizes.collect()}
+        open_, found = {}, {}
+        for g, (n, lo, hi) in ends.items():
             for p in probs:
-                at = (r["n"] - 1) * p
-                for rank in (int(at), min(int(at) + 1, r["n"] - 1)):
-                    ranks.setdefault((r["g"], rank), [r["lo"], r["hi"], 0])
-        while open_ := {k: b for k, b in ranks.items() if b[0] < b[1]}:
+                at = int((n - 1) * p)
+                for rank in (at, min(at + 1, n - 1)):
+                    if lo == hi:
+                        found[g, rank] = lo
+                    else:
+                        open_[g, rank] = (None, 0)  # the bits found so far, the number of values below them
+        for shift in range(56, -1, -8):
+            if not open_:
+                break
             keys = list(open_)
-            table = small_table(spark, {"id": list(range(len(keys))), "g": [k[0] for k in keys],
-                                        "lo": [open_[k][0] for k in keys], "hi": [open_[k][1] for k in keys]})
-            share = (F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo"))
-            bucket = F.least(F.floor(share * buckets), F.lit(buckets - 1))
-            counts = (values.join(table, "g").where(F.col("v").between(F.col("lo"), F.col("hi")))
-                      .groupBy("id", bucket.alias("b"))
-                      .agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect())
+            table = small_table(spark, {
+                "id": list(range(len(keys))), "none": [g[0] for g, _ in keys], "name": [g[1] for g, _ in keys],
+                "head": [0 if open_[k][0] is None else open_[k][0] for k in keys]})
+            inside = [F.col("g.none") == F.col("none"), F.col("g.name") == F.col("name")]
+            if shift < 56:
+                inside.append(F.shiftright("b", shift + 8) == F.col("head"))
+            counts: dict[int, list] = {}
+            for r in (values.join(table, inside).groupBy("id", F.shiftright("b", shift).alias("bits"))
+                      .agg(F.count(F.lit(1)).alias("n"), F.min("b").alias("lo"), F.max("b").alias("hi")).collect()):
+                counts.setdefault(r["id"], []).append((r["bits"], r["n"], r["lo"], r["hi"]))
+            after = {}
             for i, key in enumerate(keys):
-                bracket = ranks[key]
-                for r in sorted((r for r in counts if r["id"] == i), key=lambda r: r["b"]):
-                    if bracket[2] + r["n"] > key[1]:
-                        bracket[0], bracket[1] = r["lo"], r["hi"]
+                below = open_[key][1]
+                for bits, n, lo, hi in sorted(counts[i]):
+                    if below + n > key[1]:
+                        if lo == hi:
+                            found[key] = lo
+                        else:
+                            after[key] = (bits, below)
                         break
-                    bracket[2] += r["n"]
+                    below += n
+            open_ = after
         rows = []
-        for r in ends:
+        for g, (n, _, _) in ends.items():
             for p in probs:
-                at = (r["n"] - 1) * p
-                a, b = ranks[(r["g"], int(at))][0], ranks[(r["g"], min(int(at) + 1, r["n"] - 1))][0]
-                rows.append((r["g"], float(p), a + (b - a) * (at - int(at))))
+                at = (n - 1) * p
+                a, b = (_double(found[g, rank]) for rank in (int(at), min(int(at) + 1, n - 1)))
+                part = at - int(at)
+                between = a if part == 0 or a == b else a + (b - a) * part if np.isfinite(a) else a * (1 - part) + b * part
+                rows.append((None if g[0] else g[1], float(p), between))
     finally:
         values.unpersist()
     cols = list(zip(*rows)) or [[], [], []]
-    return small_table(spark, {by or "group": list(cols[0]), "prob": list(cols[1]), "quantile": list(cols[2])})
+    return small_table(spark, {by or "group": list(cols[0]), "prob": list(cols[1]), "quantile": list(cols[2])},
+                       {by or "group": pa.string(), "prob": pa.float64(), "quantile": pa.float64()})
 
 
 def describe_groups(df: DataFrame, group: str, value: str, unit: str) -> DataFrame:

@@ -17,10 +17,11 @@ from stancepanel.plans.registry import cte, table
 from stancepanel.sources.lexicon import power_lexicon, small_table, stance_lexicon, term_list
 from stancepanel.sources.tables import read_tokens, scratch_folder, stage
 
-TOKEN_PATTERN = "[A-Za-z]+|[0-9]+|[.,;:?!]"
+# Words of any script, numbers, and any other sign by itself.
+TOKEN_PATTERN = r"\p{L}+|\p{N}+|[^ \t\r\n\p{L}\p{N}]"
 
 # Pseudo-parse rules, shared word for word by both engines.
-UPOS = """CASE WHEN w IN ('.', ',', ';', ':', '?', '!') THEN 'PUNCT'
+UPOS = """CASE WHEN length(w) = 1 AND w < '\u00aa' AND NOT w BETWEEN 'a' AND 'z' AND NOT w BETWEEN '0' AND '9' THEN 'PUNCT'
   WHEN w >= '0' AND w < ':' THEN 'NUM'
   WHEN w IN ('the', 'a', 'this') THEN 'DET'
   WHEN w IN ('of', 'to', 'in', 'for', 'on', 'with', 'by', 'at', 'from') THEN 'ADP'
@@ -46,17 +47,12 @@ FIELD = "CASE WHEN sent_id = 0 AND ut % 3 = 0 THEN 'title' ELSE 'abstract' END"
 YEAR = "CAST(1994 + ut % 9 AS INT)"
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Redistribute a scan that has fewer splits than there are cores; else leave it alone."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
-
-
 def all_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").where(F.col("lang") == "en").select(
-        F.col("doc_id").alias("ut"), "text")
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ut"), "text")
     # Outer explodes: an inner one makes Spark split the text twice, to check for empty arrays.
-    lines = spread(docs, "ut").select("ut", F.posexplode_outer(F.split("text", "\n")).alias("sent_id", "line"))
+    # Lines are dealt out one by one, so neither a long document nor a large file is one task.
+    lines = (docs.select("ut", F.posexplode_outer(F.split("text", "\n")).alias("sent_id", "line"))
+             .repartition("ut", "sent_id"))
     found = F.regexp_extract_all("line", F.lit(TOKEN_PATTERN), F.lit(0))
     toks = (lines.select("ut", "sent_id", F.posexplode_outer(found).alias("p", "text"))
             .where(F.col("text").isNotNull())
@@ -86,7 +82,7 @@ def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 cte("line", """SELECT doc_id AS ut, unnest(string_split(text, chr(10))) AS line,
-  generate_subscripts(string_split(text, chr(10)), 1) - 1 AS sent_id FROM documents WHERE lang = 'en'""")
+  generate_subscripts(string_split(text, chr(10)), 1) - 1 AS sent_id FROM documents""")
 cte("word", f"""SELECT ut, CAST(sent_id AS INT) AS sent_id, unnest(ws) AS text,
   CAST(generate_subscripts(ws, 1) AS INT) AS tok_id
   FROM (SELECT ut, sent_id, regexp_extract_all(line, '{TOKEN_PATTERN}') AS ws FROM line)""", "line")

@@ -703,7 +703,13 @@ def h5p(spark, d):
     return rounded(sy.synthetic_paths(holes(spark, d), weights(spark, d), "unit", "year", "y"))
 
 
+@query("h6_weights_report")
+def h6r(spark, d):
+    return rounded(sy.weights_report(weights(spark, d)))
+
+
 @query("h6_weights_and_window")
 def h6(spark, d):
-    w = sy.weights_report(weights(spark, d))
-    return rounded(sy.report_window(sy.synthetic_paths(holes(spark, d), w, "unit", "year", "y"), "year"))
+    """The path comes from all weights; only the printed list leaves small ones out."""
+    paths = sy.synthetic_paths(holes(spark, d), weights(spark, d), "unit", "year", "y")
+    return rounded(sy.report_window(paths, "year"))

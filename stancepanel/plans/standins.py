@@ -12,14 +12,10 @@ DOC_NATION = "CAST((doc_id * 7) % 25 AS INT)"
 DOC_AUTHOR = "CASE WHEN doc_id % 13 = 0 THEN NULL ELSE CAST(floor(doc_id / 5) AS BIGINT) END"
 
 
-def english(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").where(F.col("lang") == "en")
-
-
 def addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ut, addr_no, country: country names in mixed spelling, some unmapped."""
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    docs = english(spark, sf_dir).select(F.col("doc_id").alias("ut"), F.expr(DOC_NATION).alias("k"),
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ut"), F.expr(DOC_NATION).alias("k"),
                                          F.explode(F.array(F.lit(1), F.lit(2))).alias("addr_no"))
     name = (F.when(F.col("k") == 24, "Atlantis").when(F.col("k") == 23, "peoples r china")
             .when(F.col("ut") % 2 == 0, F.lower("n_name")).otherwise(F.col("n_name")))
@@ -30,7 +26,7 @@ def addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
 cte("addresses", f"""SELECT d.doc_id AS ut, a.addr_no,
   CASE WHEN d.k = 24 THEN 'Atlantis' WHEN d.k = 23 THEN 'peoples r china'
     WHEN d.doc_id % 2 = 0 THEN lower(n_name) ELSE n_name END AS country
-  FROM (SELECT *, {DOC_NATION} AS k FROM documents WHERE lang = 'en') d
+  FROM (SELECT *, {DOC_NATION} AS k FROM documents) d
   JOIN nation ON n_nationkey = d.k, (VALUES (1), (2)) AS a(addr_no)""")
 
 
@@ -47,9 +43,9 @@ cte("crosswalk", """SELECT CASE WHEN n_nationkey = 23 THEN 'CHINA' ELSE upper(n_
 
 
 def documents_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ut, year, iso3, field of English documents (codes already mapped)."""
+    """ut, year, iso3, field of documents (codes already mapped)."""
     k = F.expr(DOC_NATION)
-    return english(spark, sf_dir).where(k < 24).select(
+    return table(spark, sf_dir, "documents").where(k < 24).select(
         F.col("doc_id").alias("ut"), F.expr("CAST(1994 + doc_id % 9 AS INT)").alias("year"),
         F.concat(F.lit("C"), F.lpad(k.cast("string"), 2, "0")).alias("iso3"),
         F.col("source").alias("field"))
@@ -57,14 +53,14 @@ def documents_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 cte("meta", f"""SELECT doc_id AS ut, CAST(1994 + doc_id % 9 AS INT) AS year,
   'C' || lpad(CAST({DOC_NATION} AS VARCHAR), 2, '0') AS iso3, source AS field
-  FROM documents WHERE lang = 'en' AND {DOC_NATION} < 24""")
+  FROM documents WHERE {DOC_NATION} < 24""")
 
 
 def authors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return english(spark, sf_dir).select(F.col("doc_id").alias("ut"), F.expr(DOC_AUTHOR).alias("daisng_id"))
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ut"), F.expr(DOC_AUTHOR).alias("daisng_id"))
 
 
-cte("authors", f"SELECT doc_id AS ut, {DOC_AUTHOR} AS daisng_id FROM documents WHERE lang = 'en'")
+cte("authors", f"SELECT doc_id AS ut, {DOC_AUTHOR} AS daisng_id FROM documents")
 
 
 def order_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
