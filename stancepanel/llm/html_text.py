@@ -39,7 +39,9 @@ HIDDEN = re.compile(r"\shidden(?:[\s=/]|\Z)|aria-hidden\s*=\s*[\"']?true|display
 WORD = re.compile(r"\S+")
 
 #: Weights used where no page of the table has labels.
-DEFAULT_WEIGHTS = {"word": 1.0, "aside": -1.0, "tag": -1.0, "link": -3.0}
+DEFAULT_WEIGHTS = {"word": 3.0, "aside": -0.1, "tag": -0.5, "link": -3.0}
+#: The lowest weights. Words set apart are never taken, so they must not cut an article around an advert in two.
+LOWEST = {"aside": -0.2, "tag": -6.0, "link": -3.0}
 
 
 def _words_of(attributes: str) -> set[str]:
@@ -134,7 +136,7 @@ def learned_weights(pages: DataFrame, html_col: str = "html") -> dict[str, float
     for kind, usual in DEFAULT_WEIGHTS.items():
         a, b = n.get((kind, True), 0) + 0.5, n.get((kind, False), 0) + 0.5
         odds = math.log(a / b)
-        out[kind] = max(0.1, min(6.0, odds)) if usual > 0 else min(-0.1, max(-6.0, odds))
+        out[kind] = max(0.1, min(6.0, odds)) if usual > 0 else min(-0.05, max(LOWEST[kind], odds))
     return out
 
 

@@ -51,16 +51,14 @@ def line_features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, new_do
     begin = np.flatnonzero(word & ~np.r_[False, word[:-1]])
     stop = np.flatnonzero(word & ~np.r_[word[1:], False]) + 1
     words = np.searchsorted(begin, ends) - np.searchsorted(begin, starts)
-    with np.errstate(over="ignore"):
-        powers = np.cumprod(np.full(int((stop - begin).max(initial=1)), MULTIPLIER, np.uint64))
-        offset = np.arange(len(data)) - np.repeat(begin, np.diff(np.r_[begin, len(data)])) if len(begin) else None
-        value = np.zeros(len(begin), np.uint64)
-        if len(begin):
-            head = int(begin[0])
-            offset = offset if head == 0 else np.r_[np.zeros(head, np.int64), offset[:len(data) - head]]
+    value = np.zeros(len(begin), np.uint64)  # a hash of each word
+    if len(begin):
+        with np.errstate(over="ignore"):
+            powers = np.cumprod(np.full(int((stop - begin).max()), MULTIPLIER, np.uint64))
             inside = np.flatnonzero(word)
-            value = np.add.reduceat((data[inside].astype(np.uint64) + np.uint64(1)) * powers[
-                np.minimum(offset[inside], len(powers) - 1)], np.searchsorted(inside, begin))
+            place = inside - np.repeat(begin, stop - begin)
+            value = np.add.reduceat((data[inside].astype(np.uint64) + np.uint64(1)) * powers[place],
+                                    np.cumsum(stop - begin) - (stop - begin))
     same = np.zeros(len(begin), bool)
     if len(begin) > 1:
         same[1:] = value[1:] == value[:-1]
