@@ -59,12 +59,15 @@ def t_p_value(t: float, df: float) -> float:
     """Two-sided p of Student's t: the incomplete beta function of df / (df + t^2) at (df / 2, 1 / 2)."""
     if not (math.isfinite(t) and df > 0):
         return float("nan")
-    a, rest = df / 2, t * t / (df + t * t)
-    if rest == 0:
+    a, odds = df / 2, t * t / df
+    if odds == 0:
         return 1.0
-    front = math.exp(a * math.log1p(-rest) + 0.5 * math.log(rest) - _log_beta_half(a))
-    if 1 - rest < (a + 1) / (a + 2.5):
-        return min(1.0, front * _beta_fraction(1 - rest, a, 0.5) / a)
+    if math.isinf(odds):
+        return 0.0
+    rest = odds / (1 + odds)
+    front = math.exp(-a * math.log1p(odds) + 0.5 * math.log(rest) - _log_beta_half(a))
+    if 1 / (1 + odds) < (a + 1) / (a + 2.5):
+        return min(1.0, front * _beta_fraction(1 / (1 + odds), a, 0.5) / a)
     return max(0.0, 1 - front * _beta_fraction(rest, 0.5, a) / 0.5)
 
 

@@ -3,9 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
-import __spark_entry__ as entry
 from stancepanel.operators import clause as cl
 from stancepanel.operators import sentence as se
+from stancepanel.plans import all_queries
 from stancepanel.plans import fixture_parse as fp
 
 SF = "/root/testdata/sf0.001"
@@ -16,13 +16,13 @@ def plan(df):
 
 
 # Model fits end in a local table of coefficients; their plan says nothing.
-LAZY = sorted(n for n in entry.queries() if n[0] != "f" and n.split("_")[0] not in
+LAZY = sorted(n for n in all_queries.QUERIES if n[0] != "f" and n.split("_")[0] not in
               ("e9", "e10", "d8", "g1", "g3", "g4", "g6", "g7", "h5", "h6"))
 
 
 @pytest.mark.parametrize("name", LAZY)
 def test_no_all_pairs_join_and_no_global_window(spark, name):
-    text = plan(entry.queries()[name](spark, SF))
+    text = plan(all_queries.QUERIES[name](spark, SF))
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
     for line in text.splitlines():
         if "Window [" in line:

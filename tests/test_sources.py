@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from stancepanel.functions import scalars as sc
 from stancepanel.operators import panel as pa
 from stancepanel.operators import summary as su
+from stancepanel.plans import fixture_parse
 from stancepanel.sources import tables
 from stancepanel.sources.lexicon import map_codes, read_lexicon
 
@@ -111,3 +112,20 @@ def test_exact_quantiles(spark, kind):
 def test_registry_is_consistent():
     import __spark_entry__ as entry
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_quantiles_of_any_values_end(spark):
+    inf = float("inf")
+    rows = [("a", 1.0), ("a", 2.0), ("a", 3.0), ("a", inf), ("b", -1.7e308), ("b", 1.7e308), ("b", 0.0), (None, 5.0),
+            ("NULL", 6.0), ("c", -0.0), ("c", 0.0)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {(r["g"], r["prob"]): r["quantile"] for r in su.exact_quantiles(df, "v", [0.5, 1.0], "g").collect()}
+    assert got == {("a", 0.5): 2.5, ("a", 1.0): inf, ("b", 0.5): 0.0, ("b", 1.0): 1.7e308, (None, 0.5): 5.0,
+                   (None, 1.0): 5.0, ("NULL", 0.5): 6.0, ("NULL", 1.0): 6.0, ("c", 0.5): 0.0, ("c", 1.0): 0.0}
+
+
+def test_every_document_with_a_token_is_parsed(spark):
+    sf = "/root/testdata/sf0.001"
+    tokens = fixture_parse.all_tokens(spark, sf).select("ut").distinct()
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where(F.col("text").rlike(r"\S")).select(F.col("doc_id").alias("ut"))
+    assert tokens.exceptAll(docs).count() == docs.exceptAll(tokens).count() == 0
