@@ -120,12 +120,9 @@ COUNTRY_ALIASES = {
     "NORTH IRELAND": "UK", "UNITED KINGDOM": "UK",
 }
 
-# Regime codes, fields with political content, coup wording.
+# Regime codes.
 REGIME_LABELS = {0: "Closed autocracy", 1: "Electoral autocracy",
                  2: "Electoral democracy", 3: "Liberal democracy"}
-POLITICAL_FIELDS = ["Political Science", "International Relations", "Public Administration", "Law",
-                    "Area Studies", "History", "Sociology"]
-COUP_PATTERN = "coup|military takeover|seizure of power"
 
 
 def words(text: str) -> list[str]:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stancepanel.functions import fixed_values as fixed
+from stancepanel.functions.numbering import number_rows
 
 
 def _col(c) -> Column:
@@ -124,9 +125,12 @@ def sample_rows(df: DataFrame, key, n: int, salt: str = "") -> DataFrame:
 
 
 def random_half(df: DataFrame, group: str, salt: str = "") -> DataFrame:
-    """The half of the distinct groups with the smallest hash."""
+    """The half of the distinct groups with the smallest hash, rounded down."""
+    digest = F.md5(F.concat(F.lit(salt), F.col(group).cast("string")))
     groups = df.where(F.col(group).isNotNull()).select(group).distinct()
-    return sample_rows(groups, group, groups.count() // 2, salt)
+    ranked = number_rows(groups.withColumn("_order", F.struct(digest, F.col(group))), "_order", "_rank")
+    total = ranked.agg(F.max("_rank").alias("n")).scalar()
+    return ranked.where(F.col("_rank") * 2 <= total).select(group)
 
 
 def standardise(df: DataFrame, columns, population: DataFrame | None = None,

@@ -7,11 +7,10 @@ document-grain tables the same questions are aggregates plus a join.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stancepanel.functions.numbering import number_rows
 from stancepanel.functions.scalars import country_key, flag
 from stancepanel.sources.lexicon import map_codes
 
@@ -48,12 +47,9 @@ def transitions(df: DataFrame, unit: str, time: str, treatment: str, name: str =
 def dense_ids(df: DataFrame, key: str, name: str = "unit_id") -> DataFrame:
     """Dense integers 1..n over the sorted distinct keys.
 
-    Numbers the range-sorted partitions in parallel instead of ranking all
-    keys in one task.
+    The keys are numbered range by range, see `number_rows`.
     """
-    ordered = df.select(key).distinct().orderBy(key)
-    numbered = ordered.rdd.zipWithIndex().map(lambda r: (r[0][0], r[1] + 1))
-    return df.sparkSession.createDataFrame(numbered, f"`{key}` {ordered.dtypes[0][1]}, `{name}` bigint")
+    return number_rows(df.select(key).distinct(), key, name)
 
 
 def first_address(addresses: DataFrame, crosswalk: DataFrame, first_year: int,
@@ -182,8 +178,3 @@ def consecutive_units(df: DataFrame, unit: str, time: str) -> DataFrame:
     """Rows of units without a gap in time."""
     whole = df.groupBy(unit).agg(F.count(F.lit(1)).alias("_n"), (F.max(time) - F.min(time) + 1).alias("_span"))
     return df.join(whole.where(F.col("_n") == F.col("_span")).select(unit), unit, "left_semi")
-
-
-def stack_tables(tables) -> DataFrame:
-    """O2: union by name."""
-    return reduce(DataFrame.unionByName, tables)

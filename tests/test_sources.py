@@ -1,10 +1,15 @@
 """Readers, writers, staging, scalar functions and exact quantiles."""
 
+import hashlib
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from stancepanel.functions import scalars as sc
+from stancepanel.functions.numbering import number_rows
+from stancepanel.functions.scalars import random_half
 from stancepanel.operators import panel as pa
 from stancepanel.operators import summary as su
 from stancepanel.plans import fixture_parse
@@ -129,3 +134,18 @@ def test_every_document_with_a_token_is_parsed(spark):
     tokens = fixture_parse.all_tokens(spark, sf).select("ut").distinct()
     docs = spark.read.parquet(f"{sf}/documents.parquet").where(F.col("text").rlike(r"\S")).select(F.col("doc_id").alias("ut"))
     assert tokens.exceptAll(docs).count() == docs.exceptAll(tokens).count() == 0
+
+
+def test_rows_are_numbered_in_order(spark):
+    rows = [(k, f"x{k}") for k in random.Random(3).sample(range(5000), 5000)] + [(None, "none")]
+    got = number_rows(spark.createDataFrame(rows, "k int, v string"), "k", "n").orderBy("n").collect()
+    assert [(r["k"], r["v"], r["n"]) for r in got] == [(None, "none", 1)] + [(k, f"x{k}", k + 2) for k in range(5000)]
+    assert number_rows(spark.createDataFrame([], "k int"), "k", "n").count() == 0
+
+
+@pytest.mark.parametrize("groups", [0, 1, 2, 7])
+def test_random_half_rounds_down(spark, groups):
+    df = spark.createDataFrame([(str(g),) for g in range(groups)] * 3 + [(None,)], "g string")
+    got = {r["g"] for r in random_half(df, "g", "s").collect()}
+    order = sorted((hashlib.md5(f"s{g}".encode()).hexdigest(), str(g)) for g in range(groups))
+    assert got == {g for _, g in order[:groups // 2]}
