@@ -242,62 +242,21 @@ def is_clause_head() -> Column:
         (F.col("deprel") == "conj") & F.col("upos").isin("VERB", "AUX"))
 
 
-def clause_heads(tokens: DataFrame, keep=(), max_hops: int = 3,
-                 max_in_memory: int = 4096) -> DataFrame:
+def clause_heads(tokens: DataFrame, keep=(), max_hops: int = 3, parents: DataFrame | None = None) -> DataFrame:
     """Each token with its nearest clausal head within `max_hops` parents.
 
-    A sentence of ordinary length is gathered once and walked inside the row by
-    position. A sentence with a token id above `max_in_memory` is never
-    gathered whole; its tokens follow their parents by equality joins. Both
-    give the same result, so the limit only bounds memory. Whether there are
-    such sentences is looked up first, with a filter that the scan can prune.
+    Tokens follow their parents by equality joins on (sentence, token), so no
+    sentence is gathered and a sentence of any length is spread by its tokens.
+    All hops read one shuffle of the narrow parent table. `parents`, if given,
+    is a token table that holds the same sentences and costs less to read.
     """
     slim = tokens.select(*SENTENCE, "tok_id", "head", is_clause_head().alias("is_head"), *keep)
-    walked = _walk_in_row(slim, keep, max_hops, max_in_memory)
-    beyond = slim.where(F.col("tok_id") > max_in_memory)
-    if beyond.isEmpty():
-        return walked
-    long = slim.join(beyond.select(*SENTENCE).distinct(), SENTENCE, "left_semi")
-    return walked.unionByName(_walk_by_join(long, keep, max_hops))
-
-
-def _walk_in_row(slim: DataFrame, keep, max_hops: int, max_in_memory: int) -> DataFrame:
-    small = F.col("tok_id") <= max_in_memory
-    rows = F.array_sort(F.collect_list(F.when(small, F.struct("tok_id", "head", "is_head", *keep))))
-    sentence = (slim.groupBy(*SENTENCE).agg(rows.alias("toks"), F.max("tok_id").alias("last"))
-                .where(F.col("last") <= max_in_memory))
-    # Token ids 1..n without gaps make the id the position; otherwise look positions up.
-    dense = F.size("toks") == F.col("last")
-    place = F.when(~dense, F.map_from_entries(F.transform("toks", lambda t, i: F.struct(t["tok_id"], i))))
-    sentence = sentence.withColumn("place", place).withColumns({
-        "top": F.transform("toks", lambda t: t["is_head"]),
-        "up": F.when(F.col("place").isNull(), F.transform("toks", lambda t: t["head"] - 1)).otherwise(
-            F.transform("toks", lambda t: F.try_element_at("place", t["head"])))})
-    # All tokens step up together, one parent per round, and stay at a head.
-    sentence = sentence.withColumn("at", F.transform("top", lambda is_head, i: i))
-    for _ in range(max_hops):
-        sentence = sentence.withColumn("at", F.transform(
-            "at", lambda p: F.when(F.get("top", p), p).otherwise(F.get("up", p))))
-
-    # `at` is an argument of zip_with, not a column inside the lambda: the optimizer would copy
-    # its definition into the lambda and run all rounds again for every token.
-    def row(t, end):
-        return F.struct(t["tok_id"].alias("tok_id"), *[t[c].alias(c) for c in keep],
-                        F.when(F.get("top", end), F.get("toks", end)["tok_id"]).alias("clause_head_id"))
-
-    # The outer explode spares a size check that would run the walk a second time.
-    walked = F.explode_outer(F.zip_with("toks", "at", row)).alias("t")
-    return (sentence.select(*SENTENCE, walked).select(*SENTENCE, "t.*")
-            .where(F.col("clause_head_id").isNotNull()))
-
-
-def _walk_by_join(slim: DataFrame, keep, max_hops: int) -> DataFrame:
-    lookup = slim.select(*SENTENCE, F.col("tok_id").alias("at"), F.col("head").alias("up"),
-                         F.col("is_head").alias("up_is_head"))
+    parent = (tokens if parents is None else parents).select(
+        *SENTENCE, F.col("tok_id").alias("at"), F.col("head").alias("up"), is_clause_head().alias("up_is_head"))
     walk = (slim.withColumn("clause_head_id", F.when(F.col("is_head"), F.col("tok_id")))
             .withColumnRenamed("head", "at"))
     for _ in range(max_hops):
-        walk = (walk.join(lookup, [*SENTENCE, "at"], "left")
+        walk = (walk.join(parent, [*SENTENCE, "at"], "left")
                 .withColumn("clause_head_id",
                             F.coalesce("clause_head_id", F.when(F.col("up_is_head"), F.col("at"))))
                 .drop("at", "up_is_head").withColumnRenamed("up", "at"))
@@ -317,10 +276,10 @@ def _stance_flags(tokens: DataFrame, lexicon: DataFrame) -> DataFrame:
         "is_booster": flag((F.col("type") == "booster") & (F.col("subtype") == "emphatic"))})
 
 
-def clause_words(tokens: DataFrame, lexicon: DataFrame, **walk) -> DataFrame:
+def clause_words(tokens: DataFrame, lexicon: DataFrame, parents: DataFrame | None = None, **walk) -> DataFrame:
     """C14: words, hedges and boosters per clause head."""
     walked = clause_heads(_stance_flags(tokens, lexicon), ["is_word", "is_hedge", "is_booster"],
-                          **walk)
+                          parents=tokens if parents is None else parents, **walk)
     return walked.groupBy(*SENTENCE, "clause_head_id").agg(
         F.sum("is_word").alias("n_words"), F.sum("is_hedge").alias("n_hedge_core"),
         F.sum("is_booster").alias("n_booster_core"))
@@ -334,7 +293,7 @@ def document_clause_hedging(tokens: DataFrame, power: DataFrame, lexicon: DataFr
     """
     arguments = power_arguments(tokens, power)
     inside = restrict_documents(tokens, arguments)
-    clauses = clause_words(inside, lexicon, **walk).withColumn("is_power", F.lit(None).cast("int"))
+    clauses = clause_words(inside, lexicon, parents=tokens, **walk).withColumn("is_power", F.lit(None).cast("int"))
     marks = arguments.select(*SENTENCE, F.col("predicate_id").alias("clause_head_id"),
                              F.lit(1).alias("is_power"))
     merged = clauses.unionByName(marks, allowMissingColumns=True).groupBy(
