@@ -191,10 +191,3 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 .select("fp", F.coalesce("component", "node").alias("component_id")))
     return prints.join(of_print, "fp", "left").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def keep_first(docs: DataFrame) -> DataFrame:
-    """All columns of the documents with the smallest doc_id of each component. Rows with a null key stay."""
-    kept = near_copies(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns).unionAll(
-        docs.where("doc_id is null").select(*docs.columns))
