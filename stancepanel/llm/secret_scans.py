@@ -27,9 +27,13 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 KINDS = ("assign", "access", "hex", "token", "der", "ssh")
 
 SIGNED = re.compile(r"(?<![A-Za-z0-9_.-])([A-Za-z0-9_-]{4,})\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)(?![A-Za-z0-9_-])")
-ARMOURED = re.compile(r"-----BEGIN ([A-Z0-9 ]+)-----([A-Za-z0-9+/=\s]+)-----END \1-----")
+ARMOURED = re.compile(r"""-----BEGIN ([A-Z0-9 ]+)-----([A-Za-z0-9+/=\s\\"'>|#*,]+)-----END \1-----""")
+# What stands between base64 in quoted or escaped text: escaped line ends and tabs, joined literals, indent, quote signs.
+WRAPPING = re.compile(r"""\\+[nrt]|["']\s*\+\s*["']|\\+(?=/)|[\s\\"'>|#*,]""")
+LINE_END = re.compile(r"""(?:\\*["'][ \t]*[+,]?)?[ \t]*(?:\r?\n|\\+[nr])(?:\\+[nrt]|[\s"'>|#*])*(?:\\+["'])?""")
+LINE = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
 # DER starts with 0x30; SSH fields start with a length below 256, and their file form with its name.
-BASE64_RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[MAb][A-Za-z0-9+/_-]{23,}={0,2}")
+BASE64_RUN = re.compile(r"(?:(?<![A-Za-z0-9+/_-])|(?<=\\[nrt]))[MAb][A-Za-z0-9+/_-]{23,}={0,2}")
 HEX_RUN = re.compile(r"(?<![0-9A-Za-z])(?:30|00|6[fF])(?:[0-9a-fA-F]{2}){15,}(?![0-9A-Za-z])")
 
 
@@ -115,6 +119,50 @@ def is_token_header(part: str) -> bool:
     return isinstance(header, dict) and isinstance(header.get("alg"), str)
 
 
+def key_kind(data: bytes | None) -> str | None:
+    return data and ("der" if is_der_key(data) else "ssh" if is_ssh_key(data) else None)
+
+
+def der_length(head: bytes) -> int | None:
+    """Number of bytes of a DER sequence by its first bytes."""
+    if head[0] != 0x30:
+        return None
+    if head[1] < 0x80:
+        return 2 + head[1]
+    n = head[1] & 0x7F
+    return 2 + n + int.from_bytes(head[2:2 + n], "big") if 0 < n <= 4 else None
+
+
+def wrapped_key(text: str, start: int, first: str) -> tuple[str, int] | None:
+    """Kind and end of a key whose base64 starts with the line `first` and goes on in lines of the same width.
+
+    Only the last line may be shorter. A DER key ends where its length says; an SSH key with the last line, or with the
+    last full one if what follows is other text.
+    """
+    head = decoded(first[:24])
+    if head is None:
+        return None
+    size = der_length(head)
+    if size is None and not (head.startswith(b"openssh-key-v1\0") or head[4:8] in (b"ssh-", b"ecds")):
+        return None
+    need = None if size is None else -(-4 * size // 3)
+    lines, ends, chars = [first], [start + len(first)], len(first)
+    while "=" not in lines[-1] and len(lines[-1]) == len(first) and (need is None or chars < need):
+        gap = LINE_END.match(text, ends[-1])
+        line = gap and LINE.match(text, gap.end())
+        if not line or line.end() - line.start() > len(first):
+            break
+        lines.append(line[0])
+        ends.append(line.end())
+        chars += len(line[0])
+    for n in dict.fromkeys((len(lines), len(lines) - 1, 1)):
+        if n:
+            kind = key_kind(decoded("".join(lines[:n])))
+            if kind:
+                return kind, ends[n - 1]
+    return None
+
+
 def confirmed(text: str) -> list[tuple[str, int, int]]:
     """Spans of decoded candidates whose structure holds."""
     out, taken = [], []
@@ -122,19 +170,23 @@ def confirmed(text: str) -> list[tuple[str, int, int]]:
         if is_token_header(m[1]) and decoded(m[2]) is not None and decoded(m[3]) is not None:
             out.append(("token", *m.span()))
     for m in ARMOURED.finditer(text) if "-----BEGIN" in text else ():
-        data = decoded(m[2])
-        kind = data and ("der" if is_der_key(data) else "ssh" if is_ssh_key(data) else None)
+        kind = key_kind(decoded(WRAPPING.sub("", m[2])))
         if kind:
             out.append((kind, *m.span()))
             taken.append(m.span())
-    for pattern, decode in ((BASE64_RUN, decoded), (HEX_RUN, bytes.fromhex)):
-        for m in pattern.finditer(text):
-            if any(a <= m.start() < b for a, b in taken):
-                continue
-            data = decode(m[0])
-            kind = data and ("der" if is_der_key(data) else "ssh" if is_ssh_key(data) else None)
-            if kind:
-                out.append((kind, *m.span()))
+    for m in BASE64_RUN.finditer(text):
+        if any(a <= m.start() < b for a, b in taken):
+            continue
+        found = wrapped_key(text, m.start(), m[0])
+        if found:
+            out.append((found[0], m.start(), found[1]))
+            taken.append((m.start(), found[1]))
+    for m in HEX_RUN.finditer(text):
+        if any(a <= m.start() < b for a, b in taken):
+            continue
+        kind = key_kind(bytes.fromhex(m[0]))
+        if kind:
+            out.append((kind, *m.span()))
     return out
 
 
