@@ -12,10 +12,13 @@ from stancepanel.llm import (
     decontamination,
     html_text,
     order_minhash,
+    personal_data,
     quality_classifier,
     secret_scans,
     simhash,
+    spelling_variants,
     suffix_dedup,
+    token_alignment,
     token_counts,
     toxicity,
 )
@@ -62,10 +65,24 @@ def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.order_minhash(read(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.variants(read(spark, sf_dir, "documents"))
+
+
+def op12_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                                 public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.scan(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_quality_classifier, op2_token_counts, op3_best_fit_packing,
                             op4_simhash_near_dedup, op5_html_extraction, op6_benchmark_decontamination,
-                            op7_secret_scans, op8_suffix_array_dedup, op9_toxicity, op10_document_fingerprints)}
+                            op7_secret_scans, op8_suffix_array_dedup, op9_toxicity, op10_document_fingerprints,
+                            op11_spelling_variants, op12_cross_tokenizer_alignment, op13_pii)}
 
 #: Equivalent SQL, where SQL can state the operator. The others are tested against brute force in tests/llm.
 ORACLES: dict[str, str] = {}
