@@ -71,6 +71,10 @@ def t_p_value(t: float, df: float) -> float:
     return max(0.0, 1 - front * _beta_fraction(rest, 0.5, a) / 0.5)
 
 
+class TooManyLevels(ValueError):
+    """The levels of the low-cardinality effects do not fit the dense moment matrix."""
+
+
 @dataclass
 class Solution:
     """One solved model on the driver; all arrays are small."""
@@ -152,7 +156,7 @@ class FixedEffectsModel:
         found = rows.select(F.explode(pairs).alias("p")).select("p.*").where("v IS NOT NULL").distinct()
         seen = [(r["d"], r["v"]) for r in found.limit(max_levels + 1).collect()]
         if len(seen) > max_levels:
-            raise ValueError(f"more than {max_levels} effect levels; absorb the largest effect instead")
+            raise TooManyLevels(f"more than {max_levels} effect levels; absorb the largest effect instead")
 
         def order(v):
             try:
@@ -298,27 +302,12 @@ class FixedEffectsModel:
             gamma = inverse @ g[np.ix_(nuisance, target)]
             reduced = reduced - g[np.ix_(target, nuisance)] @ gamma
         kx = len(want)
-        estimable = np.zeros(kx, bool)
-        chosen: list[int] = []
-        for i in range(kx):
-            pivot = reduced[i, i]
-            if chosen:
-                c = reduced[np.ix_(chosen, [i])]
-                pivot = pivot - float((c.T @ np.linalg.solve(reduced[np.ix_(chosen, chosen)], c))[0, 0])
-            if total[want[i]] > 0 and pivot > TOLERANCE * total[want[i]]:
-                chosen.append(i)
-                estimable[i] = True
-        beta, bread = np.zeros(kx), np.zeros((kx, kx))
-        if chosen:
-            sub = np.ix_(chosen, chosen)
-            inv = np.linalg.inv(reduced[sub])
-            beta[chosen] = inv @ reduced[chosen, kx]
-            bread[sub] = inv
+        estimable, beta, bread = reduced_solution(reduced, total[want])
         rss = max(float(reduced[kx, kx] - beta @ reduced[:kx, kx]), 0.0)
         seen = [sum(total[self._offsets()[d] + i] > 0 for i in range(len(self.levels[d])))
                 for d in range(len(self.dummies), len(self.dims))]
         sizes = ([units] if self.absorb else []) + seen
-        full = len(chosen) + (sum(sizes) - (len(sizes) - 1) if sizes else 1)
+        full = int(estimable.sum()) + (sum(sizes) - (len(sizes) - 1) if sizes else 1)
         return Solution(by, n, names, estimable, beta, bread, gamma, mean, rss, float(total[y]), full, full,
                         scales=total)
 
@@ -550,6 +539,32 @@ class FixedEffectsModel:
             "_u", "_m", "_by", *[f"_k_{e}" for e in self.effects], *[f"_v_{e}" for e in self.effects])
 
 
+def reduced_solution(reduced: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which regressors are estimable, their coefficients and the inverse of their moments.
+
+    `reduced` holds the moments of regressors and outcome (last) without the effects, `total` the regressors' own sums of
+    squares; a regressor that the effects and those before it explain is not estimable.
+    """
+    kx = len(total)
+    estimable = np.zeros(kx, bool)
+    chosen: list[int] = []
+    for i in range(kx):
+        pivot = reduced[i, i]
+        if chosen:
+            c = reduced[np.ix_(chosen, [i])]
+            pivot = pivot - float((c.T @ np.linalg.solve(reduced[np.ix_(chosen, chosen)], c))[0, 0])
+        if total[i] > 0 and pivot > TOLERANCE * total[i]:
+            chosen.append(i)
+            estimable[i] = True
+    beta, bread = np.zeros(kx), np.zeros((kx, kx))
+    if chosen:
+        sub = np.ix_(chosen, chosen)
+        inv = np.linalg.inv(reduced[sub])
+        beta[chosen] = inv @ reduced[chosen, kx]
+        bread[sub] = inv
+    return estimable, beta, bread
+
+
 # -- numpy helpers that run inside tasks ---------------------------------------------------------
 
 def long_rows(by, kind, vec):
@@ -607,8 +622,23 @@ def ols(df: DataFrame, y: str, x, weights: str | None = None, **options) -> Data
 
 
 def fixed_effects(df: DataFrame, y: str, x, absorb=None, effects=(), **options) -> DataFrame:
-    """One or several fixed effects; weights, clustered or robust errors."""
-    return FixedEffectsModel(df, y, x, absorb, effects, **options).table()
+    """One or several fixed effects; weights, clustered or robust errors.
+
+    Effects of more levels than the moment matrix takes (`max_levels`) are solved as a sparse system in Spark.
+    """
+    try:
+        return FixedEffectsModel(df, y, x, absorb, effects, **options).table()
+    except TooManyLevels:
+        if options.get("dummies"):
+            raise
+    from stancepanel.operators.many_levels import ManyLevelModel
+
+    options.pop("max_levels", None)
+    if isinstance(absorb, (list, tuple)) and len(absorb) > 1:
+        df = df.withColumn("_unit", F.concat_ws("\u0001", *absorb))
+        absorb = "_unit"
+    first = [absorb] if isinstance(absorb, str) else list(absorb or [])
+    return ManyLevelModel(df, y, x, [*first, *effects], **options).table()
 
 
 def interaction(df: DataFrame, y: str, x: str, z: str, absorb=None, effects=(), **options) -> DataFrame:

@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 from itertools import combinations
 
-import numpy as np
-import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from stancepanel.sources.lexicon import small_table
+from stancepanel.sources.tables import scratch_folder, stage
 
 
 def share_within(df: DataFrame, within, by) -> DataFrame:
@@ -32,83 +29,48 @@ def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-@F.pandas_udf(T.LongType())
-def _ordered(values: pd.Series) -> pd.Series:
-    """The bits of a double as a whole number in the same order; -0.0 counts as 0.0, NaN comes last."""
-    v = values.to_numpy(np.float64) + 0.0
-    bits = np.where(np.isnan(v), np.nan, v).view(np.int64)
-    return pd.Series(np.where(bits < 0, bits ^ np.int64(2**63 - 1), bits))
+def ranked_values(df: DataFrame, value: str, by: str | None = None) -> DataFrame:
+    """none, name (the group), v, m, before, size: each different value of a group, its number of rows, the rows of
+    smaller values and the rows of the group.
 
-
-def _double(bits: int) -> float:
-    raw = np.int64(bits)
-    return float((raw ^ np.int64(2**63 - 1) if raw < 0 else raw).view(np.float64))
+    Equal values are counted first, so that one frequent value is one row. The rest is dealt by ranges of group and
+    value, written once, and numbered within the ranges; the rows of a group's earlier ranges are added. A group may
+    span many ranges and a range hold many groups. NaN comes last, -0.0 counts as 0.0.
+    """
+    group = ([F.col(by).isNull().alias("none"), F.coalesce(F.col(by).cast("string"), F.lit("")).alias("name")]
+             if by else [F.lit(False).alias("none"), F.lit("all").alias("name")])
+    values = df.where(F.col(value).isNotNull()).select(*group, (F.col(value).cast("double") + 0.0).alias("v"))
+    keys = ["none", "name"]
+    dealt = (values.groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("m")).repartitionByRange(*keys, "v")
+             .withColumn("_range", F.spark_partition_id()))
+    dealt = stage(dealt, f"ranked-{uuid.uuid4().hex}", scratch_folder(df.sparkSession))
+    earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = dealt.groupBy(*keys, "_range").agg(F.sum("m").alias("s"))
+    offsets = sizes.select(*keys, "_range", F.coalesce(F.sum("s").over(earlier), F.lit(0)).alias("first"),
+                           F.sum("s").over(Window.partitionBy(*keys)).alias("size"))
+    within = Window.partitionBy(*keys, "_range").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    return (dealt.withColumn("inside", F.coalesce(F.sum("m").over(within), F.lit(0))).join(offsets, [*keys, "_range"])
+            .select(*keys, "v", "m", (F.col("first") + F.col("inside")).alias("before"), "size"))
 
 
 def exact_quantiles(df: DataFrame, value: str, probs, by: str | None = None) -> DataFrame:
-    """Exact interpolated quantiles without gathering or sorting a group.
+    """Exact interpolated quantiles of any number of groups, found by rank; no group is gathered and no row reaches the
+    driver. Null groups stay apart from all others; infinite values are values like others."""
+    at = (F.col("size") - 1) * F.col("prob")
+    rows = ranked_values(df, value, by).withColumn("prob", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
+    rows = rows.withColumns({"low": F.floor(at), "part": at - F.floor(at)})
+    rows = rows.withColumn("high", F.least(F.col("low") + 1, F.col("size") - 1))
 
-    Values are taken as whole numbers in the same order. Each wanted rank is narrowed down eight bits at a time: the
-    values that share the bits found so far are counted by their next eight bits, at most 256 counts for a rank. So
-    there are eight passes at most, whatever the values are, infinite ones too. Null groups stay apart from all others.
-    The counts of the groups reach the driver, not their values.
-    """
-    spark = df.sparkSession
-    group = F.struct(F.col(by).isNull().alias("none"), F.coalesce(F.col(by).cast("string"), F.lit("")).alias("name")
-                     ) if by else F.struct(F.lit(False).alias("none"), F.lit("all").alias("name"))
-    values = df.where(F.col(value).isNotNull()).select(
-        group.alias("g"), _ordered(F.col(value).cast("double")).alias("b")).persist()
-    try:
-        sizes = values.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.min("b").alias("lo"), F.max("b").alias("hi"))
-        ends = {tuple(r["g"]): (r["n"], r["lo"], r["hi"]) for r in sizes.collect()}
-        open_, found = {}, {}
-        for g, (n, lo, hi) in ends.items():
-            for p in probs:
-                at = int((n - 1) * p)
-                for rank in (at, min(at + 1, n - 1)):
-                    if lo == hi:
-                        found[g, rank] = lo
-                    else:
-                        open_[g, rank] = (None, 0)  # the bits found so far, the number of values below them
-        for shift in range(56, -1, -8):
-            if not open_:
-                break
-            keys = list(open_)
-            table = small_table(spark, {
-                "id": list(range(len(keys))), "none": [g[0] for g, _ in keys], "name": [g[1] for g, _ in keys],
-                "head": [0 if open_[k][0] is None else open_[k][0] for k in keys]})
-            inside = [F.col("g.none") == F.col("none"), F.col("g.name") == F.col("name")]
-            if shift < 56:
-                inside.append(F.shiftright("b", shift + 8) == F.col("head"))
-            counts: dict[int, list] = {}
-            for r in (values.join(table, inside).groupBy("id", F.shiftright("b", shift).alias("bits"))
-                      .agg(F.count(F.lit(1)).alias("n"), F.min("b").alias("lo"), F.max("b").alias("hi")).collect()):
-                counts.setdefault(r["id"], []).append((r["bits"], r["n"], r["lo"], r["hi"]))
-            after = {}
-            for i, key in enumerate(keys):
-                below = open_[key][1]
-                for bits, n, lo, hi in sorted(counts[i]):
-                    if below + n > key[1]:
-                        if lo == hi:
-                            found[key] = lo
-                        else:
-                            after[key] = (bits, below)
-                        break
-                    below += n
-            open_ = after
-        rows = []
-        for g, (n, _, _) in ends.items():
-            for p in probs:
-                at = (n - 1) * p
-                a, b = (_double(found[g, rank]) for rank in (int(at), min(int(at) + 1, n - 1)))
-                part = at - int(at)
-                between = a if part == 0 or a == b else a + (b - a) * part if np.isfinite(a) else a * (1 - part) + b * part
-                rows.append((None if g[0] else g[1], float(p), between))
-    finally:
-        values.unpersist()
-    cols = list(zip(*rows)) or [[], [], []]
-    return small_table(spark, {by or "group": list(cols[0]), "prob": list(cols[1]), "quantile": list(cols[2])},
-                       {by or "group": pa.string(), "prob": pa.float64(), "quantile": pa.float64()})
+    def holds(rank):
+        return (F.col("before") <= F.col(rank)) & (F.col(rank) < F.col("before") + F.col("m"))
+
+    ends = rows.where(holds("low") | holds("high")).groupBy("none", "name", "prob").agg(
+        F.max("part").alias("part"), *[F.max(F.when(holds(e), F.col("v"))).alias(e) for e in ("low", "high")])
+    low, high, part = F.col("low"), F.col("high"), F.col("part")
+    between = (F.when((part == 0) | (low == high), low)
+               .when(F.abs(low) < float("inf"), low + (high - low) * part)
+               .otherwise(low * (1 - part) + high * part))
+    return ends.select(F.when(~F.col("none"), F.col("name")).alias(by or "group"), "prob", between.alias("quantile"))
 
 
 def describe_groups(df: DataFrame, group: str, value: str, unit: str) -> DataFrame:
@@ -124,10 +86,10 @@ def describe_groups(df: DataFrame, group: str, value: str, unit: str) -> DataFra
 
 def quantile_bins(df: DataFrame, value: str, n: int = 4, name: str = "bin") -> DataFrame:
     """Bin 1..n by exact cut points of the pooled distribution."""
-    cuts = exact_quantiles(df, value, [i / n for i in range(1, n)]).orderBy("prob").collect()
-    number = F.lit(1)
-    for c in cuts:
-        number = number + F.when(F.col(value) > c["quantile"], 1).otherwise(0)
+    probs = [i / n for i in range(1, n)]
+    cuts = exact_quantiles(df, value, probs).agg(F.struct(*[
+        F.max(F.when(F.col("prob") == p, F.col("quantile"))).alias(f"q{i}") for i, p in enumerate(probs)]).alias("cuts")).scalar()
+    number = sum((F.when(F.col(value) > cuts[f"q{i}"], 1).otherwise(0) for i in range(len(probs))), F.lit(1))
     return df.where(F.col(value).isNotNull()).withColumn(name, number)
 
 

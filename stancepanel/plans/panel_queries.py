@@ -9,6 +9,7 @@ from stancepanel.functions import scalars as sc
 from stancepanel.operators import contrast as ct
 from stancepanel.operators import did
 from stancepanel.operators import events as ev
+from stancepanel.operators import many_levels as ml
 from stancepanel.operators import matching as ma
 from stancepanel.operators import panel as pa
 from stancepanel.operators import regression as rg
@@ -20,14 +21,21 @@ from stancepanel.plans.registry import R, cte, query, rounded, table
 # A panel with absent rows and missing outcomes, and one with a staggered absorbing treatment.
 cte("gappy", """SELECT unit, year, CASE WHEN (unit + year) % 6 <> 0 THEN y END AS y, n, autocracy, polyarchy FROM panel
   WHERE (unit * 3 + year) % 5 <> 0""", "panel")
+cte("holed", "SELECT unit, year, CASE WHEN (unit + year) % 6 <> 0 THEN y END AS y, n, autocracy, polyarchy FROM panel",
+    "panel")
 cte("staggered", """SELECT *, CASE WHEN year >= start THEN 1 ELSE 0 END AS d, coalesce(start, 0) AS cohort FROM panel""",
     "panel")
 
 
-def gappy(spark, d):
+def holed(spark, d):
+    """The whole panel, with some outcomes missing."""
     y = F.when((F.col("unit") + F.col("year")) % 6 != 0, F.col("y"))
-    return st.panel(spark, d).where((F.col("unit") * 3 + F.col("year")) % 5 != 0).select(
-        "unit", "year", y.alias("y"), "n", "autocracy", "polyarchy")
+    return st.panel(spark, d).select("unit", "year", y.alias("y"), "n", "autocracy", "polyarchy")
+
+
+def gappy(spark, d):
+    """The same with absent rows, for operators whose feature is gaps."""
+    return holed(spark, d).where((F.col("unit") * 3 + F.col("year")) % 5 != 0)
 
 
 def staggered(spark, d):
@@ -48,9 +56,9 @@ def p9(spark, d):
 
 @query("p10_p14_p15_codes", """SELECT unit, year, CASE WHEN y < 150 THEN 1 WHEN y >= 150 THEN 0 END AS is_low,
   CASE WHEN y IS NOT NULL THEN least(greatest(year - 1998, -2), 2) END AS rel,
-  CASE autocracy * 2 WHEN 0 THEN 'Closed autocracy' ELSE 'Electoral democracy' END AS label FROM gappy""", ("gappy",))
+  CASE autocracy * 2 WHEN 0 THEN 'Closed autocracy' ELSE 'Electoral democracy' END AS label FROM holed""", ("holed",))
 def p10(spark, d):
-    return gappy(spark, d).select(
+    return holed(spark, d).select(
         "unit", "year", sc.below("y", 150).alias("is_low"),
         F.when(F.col("y").isNotNull(), sc.clamp(F.col("year") - 1998, -2, 2)).alias("rel"),
         sc.labelled(F.col("autocracy") * 2, fixed.REGIME_LABELS).alias("label"))
@@ -204,8 +212,8 @@ def d17(spark, d):
 
 cte("windows", """SELECT p.*, t.event_year, CAST(p.year - event_year AS INT) AS rel_year FROM panel p
   JOIN trans t ON p.unit = t.unit AND p.year BETWEEN event_year - 5 AND event_year + 5""", "panel", "trans")
-cte("gapwin", """SELECT p.*, t.event_year, CAST(p.year - event_year AS INT) AS rel_year FROM gappy p
-  JOIN trans t ON p.unit = t.unit AND p.year BETWEEN event_year - 5 AND event_year + 5""", "gappy", "trans")
+cte("holewin", """SELECT p.*, t.event_year, CAST(p.year - event_year AS INT) AS rel_year FROM holed p
+  JOIN trans t ON p.unit = t.unit AND p.year BETWEEN event_year - 5 AND event_year + 5""", "holed", "trans")
 
 
 def transition_events(spark, d):
@@ -222,9 +230,9 @@ def e1(spark, d):
     return rounded(windows(spark, d).select("unit", "year", "event_year", "rel_year", "y"))
 
 
-@query("e2_event_path", f"SELECT rel_year, {R('avg(y)')} AS mean_y, count(*) AS n FROM gapwin GROUP BY 1", ("gapwin",))
+@query("e2_event_path", f"SELECT rel_year, {R('avg(y)')} AS mean_y, count(*) AS n FROM holewin GROUP BY 1", ("holewin",))
 def e2(spark, d):
-    return rounded(ev.event_path(windows(spark, d, gappy(spark, d)), "y"))
+    return rounded(ev.event_path(windows(spark, d, holed(spark, d)), "y"))
 
 
 @query("e2_event_path_z", f"""SELECT rel_year, {R('avg((y - my) / sy)')} AS mean_y_z, {R('avg((gdp - mg) / sg)')} AS mean_gdp_z,
@@ -235,11 +243,11 @@ def e2z(spark, d):
 
 
 @query("e3_candidate_events", """SELECT unit, event_year, count(*) FILTER (y IS NOT NULL AND rel_year < 0) AS n_pre,
-  count(*) FILTER (y IS NOT NULL AND rel_year > 0) AS n_post FROM gapwin GROUP BY 1, 2 HAVING
+  count(*) FILTER (y IS NOT NULL AND rel_year > 0) AS n_post FROM holewin GROUP BY 1, 2 HAVING
   count(*) FILTER (y IS NOT NULL AND rel_year < 0) >= 2 AND count(*) FILTER (y IS NOT NULL AND rel_year > 0) >= 2""",
-       ("gapwin",))
+       ("holewin",))
 def e3(spark, d):
-    return ev.candidate_events(windows(spark, d, gappy(spark, d)), "unit", "y", 2)
+    return ev.candidate_events(windows(spark, d, holed(spark, d)), "unit", "y", 2)
 
 
 cte("spellchange", """SELECT a.*, b.polyarchy_change FROM (SELECT unit, event_year, count(*) FILTER (year < event_year) AS n_pre,
@@ -434,6 +442,11 @@ def f2(spark, d):
     return short(rg.fixed_effects(st.panel(spark, d), "y", ["autocracy"], "unit", ["year"], cluster="unit"))
 
 
+@query("f2_many_level_effects", two_way("fe", "cluster"), ("fe",))
+def f2m(spark, d):
+    return short(ml.ManyLevelModel(st.panel(spark, d), "y", ["autocracy"], ["unit", "year"], cluster="unit").table())
+
+
 @query("f3_interaction")
 def f3(spark, d):
     return rounded(rg.interaction(st.panel(spark, d), "y", "autocracy", "polyarchy", "unit", ["year"], cluster="unit"))
@@ -468,6 +481,13 @@ def f5(spark, d):
                                   min_units=10, cluster="unit", min_rows=30))
 
 
+@query("f5_many_level_splits", two_way("splitrows", "hetero"), ("splitrows",))
+def f5m(spark, d):
+    labels = F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in splits().items()]))
+    rows = st.panel(spark, d).withColumn("split", F.explode(labels))
+    return short(ml.ManyLevelModel(rows, "y", ["autocracy"], ["unit", "year"], vcov="hetero", by="split").table())
+
+
 cte("grid", " UNION ALL ".join(f"SELECT '{y} ~ {x}' AS model, unit, year, CAST({x} AS DOUBLE) AS x, CAST({y} AS DOUBLE) AS y FROM panel"
                                for y in ("y", "gdp") for x in ("autocracy", "polyarchy", "pop")), "panel")
 

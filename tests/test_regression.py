@@ -5,7 +5,9 @@ import math
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
+from stancepanel.operators import many_levels as ml
 from stancepanel.operators import regression as rg
 
 
@@ -102,5 +104,45 @@ def test_p_value():
 
 
 def test_level_limit(spark, frame):
+    """The dense model refuses; the operator goes on with the sparse one."""
     with pytest.raises(ValueError, match="absorb the largest"):
-        rg.fixed_effects(spark.createDataFrame(frame), "y", ["x1"], None, ["a"], max_levels=50)
+        rg.FixedEffectsModel(spark.createDataFrame(frame), "y", ["x1"], None, ["a"], max_levels=50)
+    table = rg.fixed_effects(spark.createDataFrame(frame), "y", ["x1", "x2"], "a", ["t", "f"], cluster="g", weights="w",
+                             max_levels=5)
+    check(table, *dense(frame, "y", ["x1", "x2"], ["a", "t", "f"], "w", "g"))
+
+
+@pytest.mark.parametrize("effects,vcov", [(["a", "g"], "iid"), (["g", "a", "t"], "hetero"), (["a", "g", "f"], "cluster"),
+                                          (["a"], "cluster"), ([], "hetero")])
+def test_many_levels_match_dense(spark, frame, effects, vcov):
+    """Unbalanced large effects; clusters may nest an effect."""
+    f = frame.assign(c=frame["a"] % 20)
+    nested = 2 + (sum(f[e].nunique() for e in effects[1:]) + 1 - (len(effects) - 1)) if effects else None
+    got = ml.ManyLevelModel(spark.createDataFrame(f), "y", ["x1", "x2"], effects, weights="w", vcov=vcov,
+                            cluster="c" if vcov == "cluster" else None).table()
+    check(got, *dense(f, "y", ["x1", "x2"], effects, "w", "c" if vcov == "cluster" else None, vcov == "hetero",
+                      n_nested=nested))
+
+
+def test_many_levels_by_model_and_what_is_not_estimable(spark, frame):
+    f = frame.assign(x2=frame["a"] % 5)
+    got = ml.ManyLevelModel(spark.createDataFrame(f), "y", ["x1", "x2"], ["a", "t"], by="f", cluster="g").table().toPandas()
+    for label, part in f.groupby("f"):
+        beta, se = dense(part, "y", ["x1"], ["a", "t"], None, "g")
+        own = got[got["model"] == str(label)].set_index("term")
+        assert np.isnan(own.loc["x2", "estimate"])
+        assert np.isclose(own.loc["x1", "estimate"], beta[0], atol=1e-7) and np.isclose(own.loc["x1", "se"], se[0], rtol=1e-6)
+    assert ml.ManyLevelModel(spark.createDataFrame(f), "y", ["x1"], ["a", "t"], min_rows=1000).table().count() == 0
+
+
+def test_two_effects_of_a_hundred_thousand_levels(spark):
+    """A known effect under two effects with far more levels than a moment matrix could hold, on a sparse graph."""
+    rows = spark.range(400_000).select(
+        F.pmod(F.xxhash64("id", F.lit(1)), F.lit(100_000)).alias("a"), F.pmod(F.xxhash64("id", F.lit(2)), F.lit(100_000)).alias("b"),
+        (F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1000)) / 1000).alias("u"),
+        (F.pmod(F.xxhash64("id", F.lit(4)), F.lit(1000)) / 1000 - 0.5).alias("noise"))
+    rows = rows.select("a", "b", (F.col("u") + F.col("a") % 7 / 10 + F.col("b") % 5 / 10).alias("x"), "u", "noise").select(
+        "*", (3 * F.col("x") + F.col("a") % 11 - F.col("b") % 13 + F.col("noise")).alias("y"))
+    model = ml.ManyLevelModel(rows, "y", ["x"], ["a", "b"], cluster="a", tolerance=1e-6)
+    (r,) = model.records()
+    assert abs(r["estimate"] - 3) < 5 * r["se"] and r["se"] < 0.01 and model.taken < 60

@@ -149,3 +149,17 @@ def test_random_half_rounds_down(spark, groups):
     got = {r["g"] for r in random_half(df, "g", "s").collect()}
     order = sorted((hashlib.md5(f"s{g}".encode()).hexdigest(), str(g)) for g in range(groups))
     assert got == {g for _, g in order[:groups // 2]}
+
+
+def test_quantiles_of_many_groups_and_of_one_frequent_value(spark):
+    """Thousands of groups in one pass; a value that half of the rows share is one row of the ranking."""
+    rng = np.random.default_rng(3)
+    g, v = rng.integers(0, 5000, 60_000), rng.normal(size=60_000).round(2)
+    g[:30_000], v[:30_000] = 7, 1.5
+    df = spark.createDataFrame([(int(a), float(b)) for a, b in zip(g, v)], "g int, v double")
+    got = {(int(r["g"]), r["prob"]): r["quantile"] for r in su.exact_quantiles(df, "v", [0.25, 0.9], "g").collect()}
+    for group in [7, *rng.choice(np.unique(g), 200)]:
+        for p in (0.25, 0.9):
+            assert np.isclose(got[int(group), p], np.quantile(v[g == group], p), rtol=1e-12)
+    assert len(got) == 2 * len(np.unique(g))
+    assert su.ranked_values(df, "v", "g").where("name = '7' and v = 1.5").count() == 1
