@@ -88,7 +88,10 @@ def pre_means(panel: DataFrame, coverage: DataFrame, unit: str, time: str, treat
 
 
 def least_norm_weights(columns: np.ndarray, tol: float = 1e-12) -> np.ndarray:
-    """Convex weights of the point of least norm in the hull of the columns (Wolfe's method)."""
+    """Convex weights of the point of least norm in the hull of the columns (Wolfe's method).
+
+    The rounds end at the optimality gap `tol`; weights that do not get there are an error.
+    """
     n = columns.shape[1]
     gram = columns.T @ columns
     scale = max(float(np.max(np.diag(gram))), 1e-300)
@@ -117,6 +120,8 @@ def least_norm_weights(columns: np.ndarray, tol: float = 1e-12) -> np.ndarray:
             w[:] = 0
             w[active] = moved
             active = [a for a, m in zip(active, moved) if m > 0]
+    else:
+        raise RuntimeError("the optimality gap of the weights stays open")
     return w / w.sum()
 
 
