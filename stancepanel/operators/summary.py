@@ -114,14 +114,23 @@ def correlations(df: DataFrame, columns) -> DataFrame:
 
 
 def weighted_moments(df: DataFrame, value: str, weight: str, by=()) -> DataFrame:
-    """Weighted mean and sd with denominator (sum of weights - 1)."""
+    """Weighted mean and sd with denominator (sum of weights - 1).
+
+    The spread is summed around each group's mean in a second pass, so that a large common offset does not cancel it.
+    """
     rows = df.where(F.col(value).isNotNull() & F.col(weight).isNotNull())
-    x, w = F.col(value), F.col(weight)
-    out = rows.groupBy(*by).agg(F.sum(w).alias("w"), F.sum(w * x).alias("s"), F.sum(w * x * x).alias("q"),
-                                F.count(F.lit(1)).alias("n"))
-    mean = F.col("s") / F.col("w")
-    ss = F.greatest(F.col("q") - F.col("s") * mean, F.lit(0.0))
-    return out.select(*by, "n", mean.alias("mean"), F.sqrt(F.try_divide(ss, F.col("w") - 1)).alias("sd"))
+    x, w, keys = F.col(value), F.col(weight), list(by)
+    means = rows.groupBy(*keys).agg((F.sum(w * x) / F.sum(w)).alias("_mean"))
+    if keys:
+        named = means.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_mean")
+        same = reduce(lambda p, q: p & q, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)])
+        rows = rows.join(named, same)
+    else:
+        rows = rows.withColumn("_mean", means.scalar())
+    around = x - F.col("_mean")
+    out = rows.groupBy(*keys).agg(F.sum(w).alias("w"), F.max("_mean").alias("mean"), F.sum(w * around * around).alias("q"),
+                                  F.count(F.lit(1)).alias("n"))
+    return out.select(*keys, "n", "mean", F.sqrt(F.try_divide(F.col("q"), F.col("w") - 1)).alias("sd"))
 
 
 def column_profile(df: DataFrame, columns) -> DataFrame:

@@ -163,3 +163,15 @@ def test_quantiles_of_many_groups_and_of_one_frequent_value(spark):
             assert np.isclose(got[int(group), p], np.quantile(v[g == group], p), rtol=1e-12)
     assert len(got) == 2 * len(np.unique(g))
     assert su.ranked_values(df, "v", "g").where("name = '7' and v = 1.5").count() == 1
+
+
+def test_weighted_spread_survives_a_large_offset(spark):
+    rows = [("a", 1e9 + v, w) for v, w in ((0.0, 1.0), (1.0, 2.0), (2.0, 3.0))] + [(None, 5.0, 1.0), (None, 7.0, 1.0)]
+    df = spark.createDataFrame(rows, "g string, v double, w double")
+    got = {r["g"]: (r["n"], r["mean"], r["sd"]) for r in su.weighted_moments(df, "v", "w", ["g"]).collect()}
+    v, w = np.array([0.0, 1.0, 2.0]), np.array([1.0, 2.0, 3.0])
+    mean = (v * w).sum() / w.sum()
+    assert got["a"][0] == 3 and np.isclose(got["a"][2], np.sqrt((w * (v - mean) ** 2).sum() / (w.sum() - 1)), rtol=1e-6)
+    assert got[None] == (2, 6.0, np.sqrt(2.0))
+    (r,) = su.weighted_moments(df.where("g is null"), "v", "w").collect()
+    assert (r["n"], r["mean"], r["sd"]) == (2, 6.0, np.sqrt(2.0))
