@@ -136,12 +136,12 @@ def _logit(p: np.ndarray) -> np.ndarray:
     return np.log(q / (1 - q))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, bound: int, max_chars: int) -> DataFrame:
+def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, bound: int, max_chars: int | None = None) -> DataFrame:
     """At most `bound` labelled documents of each label, chosen by the hash of their key: label, text, weight.
 
     The weight restores the share of each label among all labelled rows. The sample has a fixed bound, so it is
-    broadcast to the documents. Only model fitting reads it. Its texts are whole; documents over `max_chars` characters
-    are not in it, so that its size is bounded.
+    broadcast to the documents. Only model fitting reads it. Its texts are whole; where `max_chars` is given, documents
+    of more characters are not in it.
     """
     known = labels.where(F.col(label_col).isin(0, 1)).select(F.col("doc_id").alias("key"), F.col(label_col).alias("y"))
     counts = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
@@ -152,8 +152,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, bound: i
     chosen = parts[0]
     for part in parts[1:]:
         chosen = chosen.unionAll(part)
-    return (docs.join(F.broadcast(chosen), docs["doc_id"] == chosen["key"])
-            .where(F.length("text") <= max_chars).select(F.col("y").cast("int"), "text", "weight"))
+    sample = docs.join(F.broadcast(chosen), docs["doc_id"] == chosen["key"])
+    if max_chars is not None:
+        sample = sample.where(F.length("text") <= max_chars)
+    return sample.select(F.col("y").cast("int"), "text", "weight")
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, bound: int = 3000, max_chars: int = 200_000) -> QualityModel:

@@ -2,8 +2,8 @@
 
 The lexicon is learned: words and word beginnings that labelled toxic documents have far more often than others. Its
 trie, walked with at most one edit, becomes one deterministic automaton that finds exact and misspelled terms in a
-single pass over a word. Each find is weighed by its context window: in quotation marks or not. A logistic
-model over the weighed finds gives the score.
+single pass over a word. Each find is weighed by its context window, the line it stands in: between quotation marks or
+not. A logistic model over the weighed finds gives the score.
 """
 
 from __future__ import annotations
@@ -11,21 +11,24 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stancepanel.llm.common import arrow_map, id_and_text, in_fold, stage
+from stancepanel.llm.common import arrow_map, id_and_text, in_fold, slices, stage
 from stancepanel.llm.quality_classifier import labelled_sample
 
 WORD = re.compile(r"[^\W\d_]+(?:[*@$!013457][^\W\d_]+)*")
 #: Signs that stand for letters in disguised words.
 DISGUISE = str.maketrans("@$!013457", "asioiesat")
 QUOTES = "\"“”„«»‹›"
-WINDOW = 60  # characters on each side of a term
+MARK = re.compile(f"[{QUOTES}\n]")
 FEATURES = 7
+#: Different words whose finds a task remembers, characters whose words it holds at once, rows that it filters at once.
+REMEMBERED, HELD_CHARS, ROWS = 200_000, 1_000_000, 500
 
 
 def spelled(word: str) -> str:
@@ -56,43 +59,46 @@ def term_counts(sample: DataFrame) -> DataFrame:
                  F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("clean")))
 
 
-def gain(toxic: float, clean: float, n_toxic: float, n_clean: float) -> float:
+def gain(toxic: Column, clean: Column, n_toxic: Column, n_clean: Column) -> Column:
     """Log-likelihood ratio of the two rates against one common rate."""
-    def part(k: float, n: float, rate: float) -> float:
-        return (k * math.log(rate) if k else 0.0) + ((n - k) * math.log(1 - rate) if n - k else 0.0)
+    def part(k: Column, n: Column, rate: Column) -> Column:
+        return F.when(k > 0, k * F.log(rate)).otherwise(0.0) + F.when(n > k, (n - k) * F.log(1 - rate)).otherwise(0.0)
 
     both = (toxic + clean) / (n_toxic + n_clean)
-    if not 0 < both < 1:
-        return 0.0
     return 2 * (part(toxic, n_toxic, toxic / n_toxic) + part(clean, n_clean, clean / n_clean)
                 - part(toxic, n_toxic, both) - part(clean, n_clean, both))
 
 
-def choose_terms(rows: list[tuple[str, int, int]], n_toxic: int, n_clean: int, most: int = 400) -> dict[str, float]:
-    """Terms and their weights: the strongest first, none that begins another chosen one or is begun by it."""
-    scored = sorted(((gain(a, b, n_toxic, n_clean), term, a, b) for term, a, b in rows),
-                    key=lambda r: (-round(r[0], 9), -len(r[1]), r[1]))
+def choose_terms(rows: list[tuple[str, int, int, float]], n_toxic: int, n_clean: int) -> dict[str, float]:
+    """Terms and their weights from (term, toxic, clean, gain): the strongest first, none that begins another chosen
+    one or is begun by it."""
     chosen: dict[str, float] = {}
-    for _, term, a, b in scored:
+    stems: set[str] = set()
+    begun: set[str] = set()  # every beginning of a chosen stem
+    for term, a, b, _ in sorted(rows, key=lambda r: (-round(r[3], 9), -len(r[0]), r[0])):
         stem = term[:-1]
-        if not any(stem.startswith(c[:-1]) or c.startswith(stem) for c in chosen):
+        own = {stem[:n] for n in range(len(stem) + 1)}
+        if stem not in begun and stems.isdisjoint(own):
             chosen[term] = math.log((a + 0.5) / (n_toxic + 1)) - math.log((b + 0.5) / (n_clean + 1))
-        if len(chosen) == most:
-            break
+            stems.add(stem)
+            begun |= own
     return chosen
 
 
 def learn_lexicon(sample: DataFrame, least_gain: float = 20.0, ratio: float = 12.0) -> dict[str, float]:
-    """Terms with a gain of `least_gain` that are `ratio` times as frequent in toxic documents of the sample."""
+    """All terms with a gain of `least_gain` that are `ratio` times as frequent in toxic documents of the sample.
+
+    Only these reach the driver. Each is in several of the bounded number of toxic documents and hardly in others.
+    """
     n = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
     n_toxic, n_clean = n.get(1, 0), n.get(0, 0)
     if not n_toxic or not n_clean:
         return {}
     strong = (term_counts(sample).where((F.col("toxic") >= 3)
                                         & (F.col("toxic") * n_clean >= ratio * F.col("clean") * n_toxic))
-              .orderBy(F.desc(F.col("toxic") / n_toxic - F.col("clean") / n_clean), "term").limit(20_000))
-    rows = [(r["term"], r["toxic"], r["clean"]) for r in strong.collect()]
-    return choose_terms([r for r in rows if gain(r[1], r[2], n_toxic, n_clean) >= least_gain], n_toxic, n_clean)
+              .withColumn("gain", gain(F.col("toxic"), F.col("clean"), F.lit(n_toxic), F.lit(n_clean)))
+              .where(F.col("gain") >= least_gain))
+    return choose_terms([(r.term, r.toxic, r.clean, r.gain) for r in strong.collect()], n_toxic, n_clean)
 
 
 class Automaton:
@@ -202,13 +208,16 @@ class Automaton:
         return out
 
 
-def quoted(text: str, start: int, end: int) -> bool:
-    """An odd number of quotation marks between the line's start and the term, and one after it in the window."""
-    line = text.rfind("\n", 0, start) + 1
-    before = text[max(line, start - 4 * WINDOW):start]
-    after = text[end:end + WINDOW].split("\n", 1)[0]
-    opened = sum(before.count(q) for q in QUOTES)
-    return opened % 2 == 1 and any(q in after for q in QUOTES)
+def quotations(text: str, spans: Iterable[tuple[int, int]]) -> Iterator[bool]:
+    """For each of the ascending spans: whether an odd number of quotation marks stands before it on its line and one
+    more after it on the same line, however long the line is. One pass over the marks of the text."""
+    marks = MARK.finditer(text)
+    mark, opened = next(marks, None), 0
+    for start, end in spans:
+        while mark and mark.start() < start:
+            opened = 0 if mark[0] == "\n" else opened + 1
+            mark = next(marks, None)
+        yield opened % 2 == 1 and mark is not None and mark[0] != "\n"
 
 
 class ToxicityModel:
@@ -224,7 +233,7 @@ class ToxicityModel:
     def features(self, texts: list[str]) -> np.ndarray:
         """Per text: a constant; finds and their weight, exact and misspelled, outside quotation; finds in quotation."""
         words = [set(WORD.findall(t)) for t in texts]
-        if len(self.known) > 1_000_000:
+        if len(self.known) > REMEMBERED:
             self.known.clear()
         new = list(set().union(*words).difference(self.known))
         self.known.update(zip(new, self.automaton.run([spelled(w) for w in new])))
@@ -234,27 +243,21 @@ class ToxicityModel:
             finds = {w: f for w in own if (f := self.known[w]) is not None}
             if not finds:
                 continue
-            for m in WORD.finditer(text):
-                if (find := finds.get(m[0])) is not None:
-                    in_quotes = quoted(text, *m.span())
-                    at = 5 + find[1] if in_quotes else 1 + 2 * find[1]
-                    row[at] += 1
-                    if not in_quotes:
-                        row[at + 1] = max(row[at + 1], self.weight[find[0]])
+            found = [(m.span(), find) for m in WORD.finditer(text) if (find := finds.get(m[0])) is not None]
+            for in_quotes, (_, find) in zip(quotations(text, [span for span, _ in found]), found):
+                at = 5 + find[1] if in_quotes else 1 + 2 * find[1]
+                row[at] += 1
+                if not in_quotes:
+                    row[at + 1] = max(row[at + 1], self.weight[find[0]])
         out[:, [1, 3, 5, 6]] = np.log1p(out[:, [1, 3, 5, 6]])
         return out
 
+    def all_features(self, texts: list[str]) -> np.ndarray:
+        """Features of whole texts, about HELD_CHARS characters at a time."""
+        return np.concatenate([np.zeros((0, FEATURES)), *(self.features(part) for part in slices(texts, HELD_CHARS))])
+
     def score(self, texts: list[str]) -> np.ndarray:
-        out, at, size, part = [], 0, 0, []
-        for n, text in enumerate([*texts, None]):
-            if part and (text is None or size > 4_000_000):
-                odds = self.features(part) @ self.coefficients
-                out.append(1 / (1 + np.exp(-np.clip(odds, -500, 500))))
-                part, size = [], 0
-            if text is not None:
-                part.append(text)
-                size += len(text)
-        return np.concatenate(out) if out else np.zeros(0)
+        return 1 / (1 + np.exp(-np.clip(self.all_features(texts) @ self.coefficients, -500, 500)))
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, prior: np.ndarray, l2: float = 1.0) -> np.ndarray:
@@ -272,14 +275,23 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, prior: np.nda
     return b
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, bound: int = 6000, max_chars: int = 200_000) -> ToxicityModel:
-    """Learn lexicon and scores on at most `bound` labelled documents of each label (a documented bound).
+def fit_toxicity(docs: DataFrame, labels: DataFrame, bound: int = 6000) -> ToxicityModel:
+    """Learn lexicon and scores on at most `bound` labelled documents of each label (a documented bound), whole texts.
 
-    Without labels of both kinds the lexicon is empty and every text gets the same score.
+    Texts stay in Spark: the driver gets the chosen terms and FEATURES numbers of each sampled document. Without labels
+    of both kinds the lexicon is empty and every text gets the same score.
     """
-    sample = stage(labelled_sample(docs, labels, "toxic", bound, max_chars), "toxic-sample")
+    sample = stage(labelled_sample(docs, labels, "toxic", bound), "toxic-sample")
     model = ToxicityModel(learn_lexicon(sample))
-    rows = sample.toArrow()
+
+    def step(batch: pa.RecordBatch) -> pa.Table:
+        x = model.all_features(batch.column("text").to_pylist())
+        return pa.table({"y": batch.column("y"), "weight": batch.column("weight"),
+                         "x": pa.array(list(x), pa.list_(pa.float64()))})
+
+    rows = (arrow_map(sample, step, "y int, weight double, x array<double>")
+            .orderBy("y", "weight", "x").toArrow())  # sums of floats do not depend on the order of tasks
+    x = np.array(rows.column("x").to_pylist(), np.float64).reshape(-1, FEATURES)
     y = np.array(rows.column("y").to_pylist(), np.float64)
     weight = np.array(rows.column("weight").to_pylist(), np.float64)
     share = (weight * y).sum() / weight.sum() if len(y) else 0.0
@@ -287,9 +299,6 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, bound: int = 6000, max_char
     if not len(y) or y.min() == y.max():
         model.coefficients = np.r_[prior[0], np.zeros(FEATURES - 1)]
         return model
-    texts = rows.column("text").to_pylist()
-    x = np.concatenate([model.features(texts[i:i + 500]) for i in range(0, len(texts), 500)])
-    model.known.clear()
     model.coefficients = fit_logistic(x, y, weight, prior)
     return model
 
@@ -299,7 +308,8 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3
     """doc_id, score (0 to 1, higher is more toxic) and predicted of every whole text.
 
     Null and empty texts have no finds and get the lowest score. Rows are scored one by one: equal texts get equal
-    scores, repeated rows and null keys stay, an empty table gives an empty result. Only key and text are read.
+    scores, repeated rows and null keys stay, an empty table gives an empty result. Only key and text are read. Texts of
+    any length are read whole.
     """
     def step(batch: pa.RecordBatch) -> pa.Table:
         return pa.table({"doc_id": batch.column("doc_id"),
@@ -319,12 +329,18 @@ def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2,
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, bound: int = 6000, threshold: float = 0.3) -> DataFrame:
-    """All rows and columns of the documents that are not toxic. The text alone decides, so copies fare alike."""
+    """All rows and columns of the documents that are not toxic. The text alone decides, so copies fare alike.
+
+    Null and empty texts have no finds. Repeated rows, null keys and further columns of any name stay as they are; an
+    empty table gives an empty result. Texts of any length are read whole.
+    """
     model = fit_toxicity(id_and_text(docs), labels, bound)
     at = docs.columns.index("text")
 
     def run(batches):
         for batch in batches:
-            texts = [t or "" for t in batch.column(at).to_pylist()]
-            yield batch.filter(pa.array(model.score(texts) < threshold, pa.bool_()))
+            for first in range(0, batch.num_rows, ROWS):
+                part = batch.slice(first, ROWS)
+                texts = [t or "" for t in part.column(at).to_pylist()]
+                yield part.filter(pa.array(model.score(texts) < threshold, pa.bool_()))
     return docs.mapInArrow(run, docs.schema)

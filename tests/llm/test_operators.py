@@ -355,8 +355,35 @@ def test_automaton_equals_edit_distance():
 
 
 def test_quotation_is_told_from_abuse():
-    assert toxicity.quoted('he said "you idiot" to me', 13, 18)
-    assert not toxicity.quoted('he said "hello" you idiot', 20, 25)
+    def quoted(text):
+        return list(toxicity.quotations(text, [m.span() for m in re.finditer("idiot", text)]))
+    assert quoted('he said "you idiot" to me') == [True]
+    assert quoted('he said "hello" you idiot') == [False]
+    far = "word " * 400
+    assert quoted(f'he said "{far}idiot {far}" idiot') == [True, False]
+    assert quoted('a "b\nidiot" c\n"idiot\n" idiot "idiot"') == [False, False, True, False]
+
+
+def test_no_term_over_the_gain_is_left_out(spark):
+    words = ["".join(random.Random(i).choices("abcdefghijklm", k=9)) for i in range(700)]
+    rows = [(1, " ".join(words), 1.0)] * 40 + [(0, "plain text without them", 1.0)] * 60
+    found = toxicity.learn_lexicon(spark.createDataFrame(rows, "y int, text string, weight double"))
+    assert all(any(w.startswith(t[:-1]) for t in found) for w in words)
+    assert len(found) > 600
+    chosen = toxicity.choose_terms([("abcd-", 9, 0, 5.0), ("abcde.", 9, 0, 6.0), ("abx.", 9, 0, 1.0)], 10, 10)
+    assert list(chosen) == ["abcde.", "abx."]
+
+
+def test_rows_that_are_not_toxic_stay_as_they_are(spark):
+    rows = [(i, "you are a filthy moron" if i % 2 else "a fine day", i) for i in range(40)]
+    rows += [(None, None, 1), (None, None, 1), (2, "", 5), (2, "", 5), (3, "x" * 300_000 + " filthy moron", 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __row long")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    kept = toxicity.keep_clean(docs, labels)
+    assert kept.columns == docs.columns
+    assert sorted(map(str, kept.collect())) == sorted(
+        str(r) for r in docs.collect() if not (r.text or "").endswith("moron"))
+    assert toxicity.keep_clean(docs.limit(0), labels).count() == 0
 
 
 def test_chain_marginals_equal_enumeration():
