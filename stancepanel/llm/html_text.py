@@ -10,6 +10,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,6 +25,8 @@ BLOCKS = ("address", "article", "aside", "blockquote", "body", "caption", "cente
           "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6",
           "head", "header", "hgroup", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "p", "pre", "section",
           "summary", "table", "tbody", "td", "tfoot", "th", "thead", "title", "tr", "ul")
+FOREIGN = ("svg", "math")
+LINES = ("p", "h1", "h2", "h3", "h4", "h5", "h6")
 VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr")
 #: Class and id words of menus, notices, adverts and reader comments.
 ASIDE_WORDS = ("ad", "ads", "advert", "advertisement", "banner", "breadcrumb", "breadcrumbs", "byline", "comment",
@@ -33,8 +36,8 @@ ASIDE_WORDS = ("ad", "ads", "advert", "advertisement", "banner", "breadcrumb", "
                "sponsored", "subscribe", "toolbar", "widget")
 
 ITEM = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|"
-                  r"<(/?)([A-Za-z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z)", re.DOTALL)
-ATTRIBUTE = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
+                  r"<(/?)([A-Za-z][^\s/>]*)((?:[^>=]|=\s*+(?:\"[^\"]*+\"|'[^']*+')|=)*+)(?:>|\Z)", re.DOTALL)
+ATTRIBUTE = re.compile(r"""(?<![\w-])(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 HIDDEN = re.compile(r"\shidden(?:[\s=/]|\Z)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.IGNORECASE)
 WORD = re.compile(r"\S+")
 
@@ -44,51 +47,115 @@ DEFAULT_WEIGHTS = {"word": 3.0, "aside": -0.1, "tag": -0.5, "link": -3.0}
 LOWEST = {"aside": -0.2, "tag": -6.0, "link": -3.0}
 
 
-def _words_of(attributes: str) -> set[str]:
+def _names_aside(name: str, attributes: str) -> bool:
+    """Whether class, id or role has a word of ASIDE_WORDS; of a paragraph or heading, as the last word of a name."""
     named = " ".join(a or b or c for a, b, c in ATTRIBUTE.findall(attributes))
-    return set(re.split(r"[\s_-]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", named).lower()))
+    names = [re.split(r"[_-]+", n) for n in re.sub(r"([a-z])([A-Z])", r"\1-\2", named).lower().split()]
+    return any(w in ASIDE_WORDS_SET for n in names for w in (n[-1:] if name in LINES else n))
+
+
+@dataclass
+class Element:
+    apart: bool  # by its name, or hidden
+    named: bool  # by the words of its class, id or role
+    within: bool  # inside an article or main element
+    held: bool  # has an inside
+    words: int  # words of the page before it, once it has ended: words in it
+    main: bool = False
+    article: bool = False
+    title: bool = False
+
+    def out(self, words: int) -> bool:
+        """Whether it is set apart on a page of so many words; wrappers of the article are not, whatever they are named."""
+        half = 2 * self.words >= words > 0
+        wraps = (self.main or self.title and self.within or (self.title or self.article) and half
+                 or 10 * self.words >= 9 * words > 0)
+        return self.apart or self.named and not wraps
+
+
+def _parsed(page: str):
+    """('text', text, None), ('open', name, element) and ('close', name, elements that end) in page order, and the
+    number of words outside elements that are set apart by name or hidden."""
+    out, open_ = [], []
+    at = words = depth = 0
+
+    def text(value: str) -> None:
+        nonlocal words
+        out.append(("text", value, None))
+        if not depth:
+            words += len(WORD.findall(value))
 
-
-def items(page: str):
-    """('text', text, apart), ('tag', name, apart, closing) in page order; `apart`: inside an element set apart.
-
-    An element set apart ends at its own end tag, at an end tag of an element around it, or with the page. Scripts,
-    styles and other raw elements end only at their own end tag.
-    """
-    open_: list[tuple[str, bool]] = []
-    at, depth = 0, 0
     while at < len(page):
         m = ITEM.search(page, at)
         end = m.start() if m else len(page)
         if end > at:
-            yield ("text", page[at:end], depth > 0, False)
+            text(page[at:end])
         if not m:
-            return
+            break
         at, name = m.end(), (m[2] or "").lower()
         if m[0].startswith("<![CDATA["):
-            yield ("text", html.escape(m[0][9:].removesuffix("]]>")), depth > 0, False)
+            text(html.escape(m[0][9:].removesuffix("]]>")))
         if not name:
             continue
         if m[1]:
+            ended = []
             if any(name == n for n, _ in open_):
-                while open_:
-                    n, apart = open_.pop()
-                    depth -= apart
-                    if n == name:
-                        break
-            yield ("tag", name, depth > 0, True)
+                while not ended or ended[-1][0] != name:
+                    ended.append(open_.pop())
+                    ended[-1][1].words = words - ended[-1][1].words
+                    depth -= ended[-1][1].apart
+            out.append(("close", name, [e for _, e in ended]))
             continue
+        closed = m[3].rstrip().endswith("/")
         if name in RAW:
+            if closed and name in FOREIGN:
+                continue
             close = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*(?:>|\Z)", re.IGNORECASE).search(page, at)
-            at = close.end() if close else len(page)
+            at = close.end() if close else at if closed else len(page)
             continue
-        apart = name in SET_APART and not (name == "header" and any(n in ("article", "main") for n, _ in open_))
-        apart = apart or (name not in ("html", "body", "article", "main")
-                          and (not ASIDE_WORDS_SET.isdisjoint(_words_of(m[3])) or bool(HIDDEN.search(m[3]))))
-        yield ("tag", name, depth > 0 or apart, False)
-        if name not in VOID and not m[3].rstrip().endswith("/"):
-            open_.append((name, apart))
-            depth += apart
+        within = any(n in ("article", "main") for n, _ in open_)
+        apart = name in SET_APART and not (name == "header" and within)
+        whole = name in ("html", "body", "article", "main")
+        named = bool(m[3]) and name not in ("html", "body") and _names_aside(name, m[3])
+        if name in ("main", "article", "h1"):
+            for _, e in open_:
+                e.main |= name == "main"
+                e.article |= name == "article" and not named
+                e.title |= name == "h1"
+        element = Element(apart or (not whole and bool(HIDDEN.search(m[3]))), named and not whole, within,
+                          name not in VOID and not closed, words)
+        out.append(("open", name, element))
+        if element.held:
+            open_.append((name, element))
+            depth += element.apart
+    for _, e in open_:
+        e.words = words - e.words
+    return out, words
+
+
+def items(page: str):
+    """('text', text, apart), ('tag', name, apart, closing) in page order; `apart`: inside an element set apart.
+
+    An element set apart ends at its own end tag, at an end tag of an element around it, or with the page. Scripts,
+    styles and other raw elements end only at their own end tag; svg and math may close themselves.
+    """
+    parsed, words = _parsed(page)
+    depth, inside = 0, set()
+    for what, value, of in parsed:
+        if what == "text":
+            yield ("text", value, depth > 0, False)
+        elif what == "close":
+            for e in of:
+                if id(e) in inside:
+                    inside.discard(id(e))
+                    depth -= 1
+            yield ("tag", value, depth > 0, True)
+        else:
+            out = of.out(words)
+            yield ("tag", value, depth > 0 or out, False)
+            if out and of.held:
+                inside.add(id(of))
+                depth += 1
 
 
 ASIDE_WORDS_SET = frozenset(ASIDE_WORDS)
@@ -173,7 +240,8 @@ def extract(pages: DataFrame, weights: dict[str, float] | None = None, id_col: s
     """page_id, url, text, n_chars of every whole page.
 
     Without `weights` they are learned from the table. A null or empty page has an empty text. White space is what
-    str.split takes for it. Repeated rows, null keys and null addresses stay; an empty table gives an empty result.
+    str.split takes for it. Repeated rows, null keys and null addresses stay; an empty table gives an empty result. Pages of
+    any length are read whole, further columns are not read.
     """
     weights = learned_weights(pages, html_col) if weights is None else weights
 
