@@ -289,13 +289,12 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, bound: int = 6000) -> Toxic
         return pa.table({"y": batch.column("y"), "weight": batch.column("weight"),
                          "x": pa.array(list(x), pa.list_(pa.float64()))})
 
-    rows = (arrow_map(sample, step, "y int, weight double, x array<double>").groupBy("y", "weight", "x")
-            .agg(F.count("*").alias("n")).toArrow())
-    rows = rows.take(sorted(range(len(rows)), key=[*zip(*(rows.column(c).to_pylist() for c in ("y", "weight", "x")))]
-                            .__getitem__))  # sums of floats do not depend on the order of tasks
-    x = np.array(rows.column("x").to_pylist(), np.float64).reshape(-1, FEATURES)
-    y = np.array(rows.column("y").to_pylist(), np.float64)
-    weight = np.array(rows.column("weight").to_pylist(), np.float64) * np.array(rows.column("n").to_pylist(), np.float64)
+    counted = (arrow_map(sample, step, "y int, weight double, x array<double>").groupBy("y", "weight", "x")
+               .agg(F.count("*").alias("n")).collect())
+    rows = sorted(counted, key=lambda r: (r.y, r.weight, r.x))  # sums of floats do not depend on the order of tasks
+    x = np.array([r.x for r in rows], np.float64).reshape(-1, FEATURES)
+    y = np.array([r.y for r in rows], np.float64)
+    weight = np.array([r.weight * r.n for r in rows], np.float64)
     share = (weight * y).sum() / weight.sum() if len(y) else 0.0
     prior = np.array([math.log((share + 1e-3) / (1 - share + 1e-3)) - 1.0, 1.0, 0.4, 0.5, 0.2, 0.0, 0.0])
     if not len(y) or y.min() == y.max():
