@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -87,15 +88,37 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 
 
+def input_key(df: DataFrame, version: str = "") -> str:
+    """A short key of what a table is made from: its input files with their sizes and times, its schema, a code version.
+
+    The files are listed by Spark, and their hashes are combined without regard to order, so no list of files is
+    gathered. A table without input files is keyed by its schema and version alone.
+    """
+    spark, files = df.sparkSession, df.inputFiles()
+    seen = "none"
+    if files:
+        listed = spark.read.format("binaryFile").load(sorted(files)).select(
+            F.xxhash64("path", "length", F.unix_micros("modificationTime")).alias("h"), "length")
+        seen = repr(tuple(listed.agg(F.count(F.lit(1)), F.sum("length"), F.bit_xor("h")).first()))
+    return hashlib.sha256("\n".join([seen, df.schema.json(), version]).encode()).hexdigest()[:24]
+
+
 def stage(df: DataFrame, name: str, folder: str | None = None, reuse: bool = False,
-          partition_by=()) -> DataFrame:
+          partition_by=(), version: str = "") -> DataFrame:
     """IO7/IO8: write an intermediate once and read it back.
 
     Cuts lineage with a table in a shared folder, so losing an executor costs
-    nothing. With `reuse`, a completed earlier result is read instead.
+    nothing. With `reuse`, a completed earlier result is read instead, but only
+    one made from the same input files, schema and code `version`: the key of
+    these is part of the folder's name, and a run that did not finish has left
+    no success marker. A changed input goes to a folder of its own, so earlier
+    readers keep theirs. `name` stands for the computation; give another
+    version when its code changes.
     """
     spark = df.sparkSession
     path = f"{folder.rstrip('/') if folder else shared_folder(spark)}/{name}"
+    if reuse:
+        path = f"{path}-{input_key(df, version)}"
     if not (reuse and _exists(spark, path)):
         save(df, path, partition_by, mode="overwrite")
     return spark.read.parquet(path)

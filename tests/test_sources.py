@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -54,6 +55,35 @@ def test_staging_reuses_a_finished_table(spark, tmp_path):
     assert tables.stage(spark.range(9).toDF("x"), "t", folder).count() == 9
 
 
+def test_staging_again_after_a_changed_input(spark, tmp_path):
+    source, folder = f"{tmp_path}/in", f"{tmp_path}/staged"
+
+    def staged(version=""):
+        table = spark.read.schema("id long").parquet(source)
+        return tables.stage(table.groupBy().agg(F.sum("id").alias("s")), "sums", folder, reuse=True, version=version)
+
+    tables.save(spark.range(5), source)
+    first = staged()
+    marker = Path(first.inputFiles()[0].removeprefix("file://")).parent / "_SUCCESS"
+    written = marker.stat().st_mtime_ns
+    assert staged().first()["s"] == 10 and marker.stat().st_mtime_ns == written
+    tables.save(spark.range(6), source, mode="overwrite")
+    assert staged().first()["s"] == 15 and first.first()["s"] == 10
+    assert len(list(Path(folder).iterdir())) == 2
+    staged(version="2")
+    assert len(list(Path(folder).iterdir())) == 3
+
+
+def test_an_unfinished_stage_is_written_again(spark, tmp_path):
+    source, folder = f"{tmp_path}/in", f"{tmp_path}/staged"
+    tables.save(spark.range(5), source)
+    table = spark.read.parquet(source)
+    made = tables.stage(table, "t", folder, reuse=True)
+    (Path(made.inputFiles()[0].removeprefix("file://")).parent / "_SUCCESS").unlink()
+    assert tables.stage(table, "t", folder, reuse=True).count() == 5
+    assert len(list(Path(folder).glob("*/_SUCCESS"))) == 1
+
+
 def test_staging_needs_a_shared_folder(spark):
     if spark.conf.get("spark.checkpoint.dir", None) is None:
         with pytest.raises(ValueError, match="spark.checkpoint.dir"):
