@@ -1,13 +1,22 @@
-"""Batch model scoring of sentences with a pluggable scorer."""
+"""Batch model scoring of sentences with a pluggable scorer, and a scorer that is fitted in Spark."""
 
 from __future__ import annotations
 
+import hashlib
+import uuid
 from collections.abc import Callable, Iterator
+from itertools import chain
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from stancepanel.sources.lexicon import small_table
+from stancepanel.sources.tables import scratch_folder, stage
+
 Scorer = Callable[[list[str]], list[float]]
 
 
@@ -33,3 +42,90 @@ def score_sentences(sentences: DataFrame, scorer_factory: Callable[[], Scorer],
             yield frame[kept].assign(**{score: scores})
 
     return sentences.mapInPandas(run, schema)
+
+
+HEX_DIGITS = 3
+BIAS = 16 ** HEX_DIGITS  # the feature every sentence has, after the hashed words
+
+
+def word_bucket(word: Column) -> Column:
+    """A word's feature: the first hex digits of its MD5."""
+    return F.conv(F.substring(F.md5(word.cast("binary")), 1, HEX_DIGITS), 16, 10).cast("int")
+
+
+def sentence_features(tokens: DataFrame, sentence=("ut", "sent_id"), word: str = "text") -> DataFrame:
+    """One row per sentence and feature: the share `x` of its words in a bucket, and the bias of 1."""
+    counts = tokens.groupBy(*sentence, word_bucket(F.col(word)).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    total = F.sum("n").over(Window.partitionBy(*sentence))
+    shares = counts.select(*sentence, "bucket", (F.col("n") / total).alias("x"))
+    bias = tokens.select(*sentence).distinct().select(*sentence, F.lit(BIAS).alias("bucket"), F.lit(1.0).alias("x"))
+    return shares.unionByName(bias)
+
+
+def labelled_sentences(tokens: DataFrame, labels: DataFrame, label: str, bound: int, doc: str = "ut",
+                       sentence=("ut", "sent_id")) -> DataFrame:
+    """Sentences of labelled documents with their document's label `y` and a weight `c` that balances the labels.
+
+    At most `bound` sentences of each label, those with the smallest MD5 of their key. Rows without a label do not count.
+    """
+    marked = tokens.join(labels.select(doc, F.col(label).alias("y")).where(F.col(label).isNotNull()), doc).select(
+        *sentence, "y").distinct()
+    first = Window.partitionBy("y").orderBy(F.md5(F.concat_ws(":", *[F.col(c).cast("string") for c in sentence])
+                                                  .cast("binary")), *sentence)
+    kept = marked.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= bound).drop("_r")
+    sizes = kept.groupBy("y").agg(F.count(F.lit(1)).alias("_n"))
+    return kept.join(sizes, "y").select(*sentence, F.col("y").cast("double").alias("y"), (1.0 / F.col("_n")).alias("c"))
+
+
+def fit_hashed_scorer(tokens: DataFrame, labels: DataFrame, label: str, bound: int = 2000, steps: int = 12,
+                      shrink: float = 1e-5, doc: str = "ut", sentence=("ut", "sent_id"),
+                      word: str = "text") -> np.ndarray:
+    """Weights of a logistic model of `label` on hashed words, by a fixed number of descent steps.
+
+    Features of the bounded sample (see `labelled_sentences`) are written once. Each step is one Spark job that sums
+    the gradient over all partitions; at most BIAS + 1 sums reach the driver. A sentence's features add up to 2, so the
+    step `gradient / (sum of x / 2 + shrink)` never raises the loss. A feature that no sample sentence has weighs 0.
+    Without labelled sentences all weights are 0, hence all scores 0.5.
+    """
+    keys = list(sentence)
+    sample = stage(labelled_sentences(tokens, labels, label, bound, doc, sentence), f"sample-{uuid.uuid4().hex}",
+                   scratch_folder(tokens.sparkSession))
+    x = stage(sentence_features(tokens.join(sample.select(*keys), keys, "left_semi"), sentence, word).join(sample, keys),
+              f"features-{uuid.uuid4().hex}", scratch_folder(tokens.sparkSession))
+    scale = np.zeros(BIAS + 1)
+    for r in x.groupBy("bucket").agg(F.sum(F.col("c") * F.col("x") / 2).alias("h")).collect():
+        scale[r["bucket"]] = r["h"]
+    w = np.zeros(BIAS + 1)
+    for _ in range(steps):
+        now = small_table(tokens.sparkSession, {"bucket": list(range(BIAS + 1)), "w": w.tolist()},
+                          {"bucket": pa.int32()})
+        whole = Window.partitionBy(*keys)
+        odds = F.sum(F.col("w") * F.col("x")).over(whole)
+        miss = x.join(now, "bucket").withColumn("r", F.col("c") * (F.col("y") - 1 / (1 + F.exp(-odds))))
+        step = np.zeros(BIAS + 1)
+        for r in miss.groupBy("bucket").agg(F.sum(F.col("r") * F.col("x")).alias("g")).collect():
+            step[r["bucket"]] = r["g"]
+        w = w + (step - shrink * w) / (scale + shrink)
+    return w
+
+
+def hashed_scorer(weights: np.ndarray, remembered: int = 200_000) -> Callable[[], Scorer]:
+    """A factory for `score_sentences`: the fitted model over words split at blanks; an empty text has only the bias."""
+    def factory() -> Scorer:
+        known: dict[str, float] = {}
+
+        def weigh(word: str) -> float:
+            if word not in known:
+                if len(known) >= remembered:
+                    known.clear()
+                known[word] = float(weights[int(hashlib.md5(word.encode()).hexdigest()[:HEX_DIGITS], 16)])
+            return known[word]
+
+        def score(texts: list[str]) -> list[float]:
+            words = [[w for w in t.split(" ") if w] for t in texts]
+            sizes = np.fromiter(map(len, words), np.int64, len(words))
+            flat = np.fromiter(map(weigh, chain.from_iterable(words)), np.float64, sizes.sum())
+            sums = np.bincount(np.repeat(np.arange(len(words)), sizes), flat, len(words))
+            return (1 / (1 + np.exp(-(weights[BIAS] + sums / np.maximum(sizes, 1))))).tolist()
+        return score
+    return factory

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from stancepanel.operators import clause as cl
 from stancepanel.operators import contrast as ct
@@ -251,3 +252,58 @@ def test_scorer_runs_in_batches_and_fills_blanks(spark):
         return score
     got = {r["k"]: r["certainty"] for r in scoring.score_sentences(df, factory, batch_size=4).collect()}
     assert got == {i: (0.0 if i == 3 else float(i)) for i in range(10)}
+
+
+def test_fitted_scorer_tells_held_out_documents_apart(spark):
+    from stancepanel.plans import fixture_parse, token_queries
+    sf = "/root/testdata/sf0.01"
+    texts = scoring.sentence_features(fixture_parse.tokens(spark, sf))
+    weights = token_queries.fitted_weights(spark, sf)
+    toks = fixture_parse.tokens(spark, sf)
+    labels = spark.read.parquet(f"{sf}/labels.parquet").select(F.col("doc_id").alias("ut"), "quality")
+    held = labels.where(token_queries.HELD_OUT.replace("VARCHAR", "STRING")).where("quality is not null")
+    scored = scoring.score_sentences(se.sentence_text(toks.join(held, "ut", "left_semi")), scoring.hashed_scorer(weights))
+    rows = scored.groupBy("ut").agg(F.avg("certainty").alias("s")).join(held, "ut").collect()
+    good, bad = ([r["s"] for r in rows if r["quality"] == q] for q in (1, 0))
+    assert len(good) > 20 and len(bad) > 5
+    auc = sum((g > b) + (g == b) / 2 for g in good for b in bad) / len(good) / len(bad)
+    print("held-out AUC", auc)
+    assert auc > 0.8
+    assert texts.where("bucket <> 4096").groupBy("ut", "sent_id").agg(F.sum("x").alias("s")).where("abs(s - 1) > 1e-9").isEmpty()
+
+
+def test_fitted_scorer_equals_dense_descent(spark):
+    import hashlib
+
+    import numpy as np
+    rng = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(12)]
+    rows = [(d, s, t, words[rng.integers(0, 12) if d % 2 else rng.integers(0, 8)]) for d in range(20) for s in range(2)
+            for t in range(int(rng.integers(1, 9)))]
+    tokens = spark.createDataFrame(rows, "ut int, sent_id int, tok_id int, text string")
+    labels = spark.createDataFrame([(d, None if d == 19 else d % 2) for d in range(20)], "ut int, q int")
+    got = scoring.fit_hashed_scorer(tokens, labels, "q", bound=15, steps=5)
+    keys = sorted({(d, s) for d, s, *_ in rows if d != 19}, key=lambda k: hashlib.md5(f"{k[0]}:{k[1]}".encode()).hexdigest())
+    keys = [k for q in (0, 1) for k in [k for k in keys if k[0] % 2 == q][:15]]
+    x = np.zeros((len(keys), scoring.BIAS + 1))
+    x[:, scoring.BIAS] = 1
+    for i, k in enumerate(keys):
+        own = [w for d, s, _, w in rows if (d, s) == k]
+        for w in own:
+            x[i, int(hashlib.md5(w.encode()).hexdigest()[:3], 16)] += 1 / len(own)
+    y = np.array([k[0] % 2 for k in keys], float)
+    c = np.where(y == 1, 1 / y.sum(), 1 / (1 - y).sum())
+    w, losses = np.zeros(scoring.BIAS + 1), []
+    for _ in range(5):
+        p = 1 / (1 + np.exp(-x @ w))
+        losses.append(-(c * (y * np.log(p) + (1 - y) * np.log(1 - p))).sum() + 1e-5 * (w @ w) / 2)
+        w = w + ((c * (y - p)) @ x - 1e-5 * w) / ((c[:, None] * x).sum(0) / 2 + 1e-5)
+    assert np.abs(got - w).max() < 1e-9 and losses == sorted(losses, reverse=True)
+
+
+def test_fitted_scorer_without_labels(spark):
+    tokens = spark.createDataFrame([(1, 1, 1, "a")], "ut int, sent_id int, tok_id int, text string")
+    weights = scoring.fit_hashed_scorer(tokens, spark.createDataFrame([], "ut int, q int"), "q", steps=2)
+    assert not weights.any()
+    df = spark.createDataFrame([(1, "a b"), (2, None), (3, "")], "k int, sentence string")
+    assert {r["certainty"] for r in scoring.score_sentences(df, scoring.hashed_scorer(weights)).collect()} == {0.5}
