@@ -1,8 +1,9 @@
 """Document fingerprints by order MinHash, in DataFrame functions only.
 
-The k-mers of a text are pairs of neighbouring words, each numbered by its occurrence, so that repeats count. Hashed
-k-mers fall into bins; of each bin the smallest ones are selected, put back into text order, and hashed as a tuple. A
-tuple survives an edit only if its k-mers and their order do, which follows edit distance and not just the set of words.
+The k-mers of a text are pairs of neighbouring words, each numbered by its occurrence, so that repeats count. Each sign
+of a script that is written without spaces is a word. Hashed k-mers fall into bins; of each bin the smallest ones of the
+whole text are selected, put back into text order, and hashed as a tuple. A tuple survives an edit only if its k-mers
+and their order do, which follows edit distance and not just the set of words.
 """
 
 from __future__ import annotations
@@ -11,7 +12,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-BINS, PER_TUPLE, SELECTED = 64, 2, 160
+from stancepanel.functions.numbering import number_rows
+
+BINS, PER_TUPLE = 64, 2
+BIN_PLACE = 64 - (BINS - 1).bit_length()  # the bin is the top bits of a hash, so sorted k-mers lie bin by bin
+# Scripts that are written without spaces between words: each of their signs is a word.
+UNSPACED = r"([\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}\p{IsTibetan}])"
 PLACE_BITS = 24
 HASH = -(1 << PLACE_BITS)  # mask of a k-mer's hash; the low bits hold its place in the text
 PLACE = (1 << PLACE_BITS) - 1
@@ -25,8 +31,8 @@ def bound(value: Column, body) -> Column:
 
 
 def numbered_kmers(text: Column) -> Column:
-    """The SELECTED smallest occurrence-numbered k-mers of a text, hash and place in one long each."""
-    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
+    """The PER_TUPLE smallest occurrence-numbered k-mers of each bin, hash and place in one long each."""
+    words = F.filter(F.split(F.regexp_replace(text, UNSPACED, " $1 "), r"\s+"), lambda w: w != "")
     kmers = bound(words, lambda w: F.zip_with(w, F.slice(w, 2, F.greatest(F.size(w), F.lit(1))),
                                               lambda a, b: F.xxhash64(a, b)))
     packed = F.sort_array(F.transform(kmers, lambda h, i: h.bitwiseAND(F.lit(HASH)).bitwiseOR(
@@ -46,11 +52,17 @@ def numbered_kmers(text: Column) -> Column:
                 j + 2 - F.get(k["starts"], F.array_position(k["kinds"], x.bitwiseAND(F.lit(HASH))).cast("int") - 1)
             ).bitwiseAND(F.lit(HASH)).bitwiseOR(x.bitwiseAND(F.lit(PLACE)))))
 
+    def smallest(s: Column) -> Column:
+        """Of sorted k-mers without repeats, those with fewer than PER_TUPLE before them in their bin."""
+        def bin_of(x: Column) -> Column:
+            return F.shiftrightunsigned(x, BIN_PLACE)
+        return F.filter(s, lambda x, j: (j < PER_TUPLE) | (bin_of(F.get(s, j - PER_TUPLE)) != bin_of(x)))
+
     def select(s: Column) -> Column:
-        first = F.slice(F.filter(s, lambda x, j: ~is_again(s, x, j)), 1, SELECTED)
+        first = bound(F.filter(s, lambda x, j: ~is_again(s, x, j)), smallest)
         again = F.filter(s, lambda x, j: is_again(s, x, j))
         return bound(again, lambda a: F.when(F.size(a) == 0, first).otherwise(
-            F.slice(F.sort_array(F.concat(first, number(a))), 1, SELECTED)))
+            bound(F.sort_array(F.concat(first, number(a))), smallest)))
 
     return bound(packed, select)
 
@@ -69,8 +81,7 @@ def fingerprint(text: Column) -> Column:
 
     def bins(chosen: Column) -> Column:
         return F.concat_ws("", F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda b: bound(
-            F.slice(F.filter(chosen, lambda x: F.shiftright(x, PLACE_BITS).bitwiseAND(F.lit(BINS - 1)) == b),
-                    1, PER_TUPLE),
+            F.filter(chosen, lambda x: F.shiftrightunsigned(x, BIN_PLACE) == b),
             lambda c: F.when(F.size(c) == 0, F.lit(NOTHING)).otherwise(tuple_of(c)))))
 
     return bound(numbered_kmers(text), bins)
@@ -88,30 +99,30 @@ def likeness(a: Column, b: Column) -> Column:
     return bound(F.struct(a.alias("a"), b.alias("b")), counts)
 
 
-def with_next(docs: DataFrame, columns: list[str], group_rows: int = 128, most_groups: int = 50_000) -> DataFrame:
+def with_next(docs: DataFrame, columns: list[str], group_rows: int = 128) -> DataFrame:
     """Rows with next_<column>: the row after it in ascending doc_id, after the last one the first.
 
-    Keys are dealt into ranges, and the neighbour is found within a range. The first row of each range is also sent to
-    the range before it. The table of ranges has at most `most_groups` rows, so it is broadcast.
+    Rows with one doc_id follow each other by their text's hash. The different pairs of both are numbered, so keys of any
+    type and spread, null ones too, are dealt into ranges of `group_rows` pairs, and the neighbour is found within a
+    range. The first rows of each range are also sent to the range before it.
     """
-    extent = docs.agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n")).first()
-    lo, hi = (extent["lo"] or 0), (extent["hi"] or 0)
-    groups = max(1, min(most_groups, extent["n"] // group_rows))
-    width = (hi - lo) // groups + 1
-    of = F.coalesce(F.floor((F.col("doc_id") - F.lit(lo)) / F.lit(width)), F.lit(-1)).cast("long")
-    dealt = docs.withColumn("part", of)
-    firsts = dealt.groupBy("part").agg(F.min("doc_id").alias("first_id"))
-    along = Window.orderBy("part")
-    last = F.max("part").over(along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    firsts = firsts.select("part", "first_id", F.coalesce(F.lag("part").over(along), last).alias("before"),
-                           F.lag("part").over(along).isNull().alias("wraps"))
-    sent = (dealt.join(F.broadcast(firsts), "part")
-            .withColumn("to", F.explode(F.when(F.col("doc_id").eqNullSafe(F.col("first_id")), F.array(
-                F.struct(F.col("part"), F.lit(False).alias("guest"), F.lit(False).alias("after")),
-                F.struct(F.col("before").alias("part"), F.lit(True).alias("guest"), F.col("wraps").alias("after"))))
-                .otherwise(F.array(F.struct(F.col("part"), F.lit(False).alias("guest"), F.lit(False).alias("after")))))))
-    order = Window.partitionBy("to.part").orderBy("to.after", "to.guest", "doc_id", *columns)
-    return (sent.select(docs.columns + ["to"] + [F.lead(c).over(order).alias(f"next_{c}") for c in columns])
+    key = F.struct("doc_id", F.xxhash64("text").alias("hash"))
+    numbered = number_rows(docs.select(key.alias("key")).distinct(), "key", "number")
+    size = numbered.agg(F.max("number")).first()[0] or 0
+    last = max(0, size - 1) // group_rows
+    place = F.col("number") - 1
+    dealt = numbered.select(F.col("key.doc_id").alias("key_id"), F.col("key.hash").alias("key_hash"),
+                            F.floor(place / group_rows).alias("part"), (place % group_rows == 0).alias("is_first"))
+    placed = docs.join(dealt, docs["doc_id"].eqNullSafe(dealt["key_id"]) & (F.xxhash64(docs["text"]) == dealt["key_hash"]))
+
+    def seat(part: Column, guest: bool, after: Column) -> Column:
+        return F.struct(part.alias("part"), F.lit(guest).alias("guest"), after.alias("after"))
+
+    own = seat(F.col("part"), False, F.lit(False))
+    visit = seat(F.when(F.col("part") == 0, F.lit(last)).otherwise(F.col("part") - 1), True, F.col("part") == 0)
+    sent = placed.withColumn("to", F.explode(F.when(F.col("is_first"), F.array(own, visit)).otherwise(F.array(own))))
+    order = Window.partitionBy("to.part").orderBy("to.after", "to.guest", "doc_id", "key_hash", *columns)
+    return (sent.select(*docs.columns, "to", *[F.lead(c).over(order).alias(f"next_{c}") for c in columns])
             .where("not to.guest").drop("to"))
 
 
@@ -120,8 +131,9 @@ def order_minhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     The edited text has the last half of the code points (rounded down) replaced by as many from the start of the next
     document, or all it has. Null texts are empty; an empty text fills no bin, and two such texts have likeness 1. Rows
-    with a null key come before all others; rows with one key follow each other in the order of their texts. A text alone in
-    the table is its own next one. Empty tables give empty results. Places are kept modulo 2**24 words.
+    with a null key come before all others; rows with one key, of any type that can be sorted, follow each other in the
+    order of their texts' hashes. A text alone in the table is its own next one. Other columns are not read. Empty tables
+    give empty results. Very long texts are read whole; places are kept modulo 2**24 words.
     """
     base = docs.select(docs[id_col].alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
     printed = base.withColumn("fingerprint", fingerprint(F.col("text")))
