@@ -67,8 +67,8 @@ def numbered_kmers(text: Column) -> Column:
     return bound(packed, select)
 
 
-def fingerprint(text: Column) -> Column:
-    """BINS tuples of WIDTH hex digits each; a bin without k-mers has dashes."""
+def tuples(text: Column) -> Column:
+    """The hash of each bin's tuple as an int, null for a bin without k-mers."""
     low = 64 - PLACE_BITS
 
     def tuple_of(chosen: Column) -> Column:
@@ -77,16 +77,26 @@ def fingerprint(text: Column) -> Column:
             F.shiftrightunsigned(x, PLACE_BITS))))
         value = F.aggregate(ordered, F.lit(0).cast("long"),
                             lambda acc, y: F.xxhash64(acc, F.shiftleft(y, PLACE_BITS)))
-        return F.lpad(F.lower(F.hex(value.bitwiseAND(F.lit((1 << 32) - 1)))), WIDTH, "0")
+        return F.shiftright(F.shiftleft(value, 32), 32).cast("int")
 
     def bins(chosen: Column) -> Column:
-        return F.concat_ws("", F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda b: bound(
+        return F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda b: bound(
             F.filter(chosen, lambda x: F.shiftrightunsigned(x, BIN_PLACE) == b),
-            lambda c: F.when(F.size(c) == 0, F.lit(NOTHING)).otherwise(tuple_of(c)))))
+            lambda c: F.when(F.size(c) > 0, tuple_of(c))))
 
     return bound(numbered_kmers(text), bins)
 
 
+def written(bins: Column) -> Column:
+    """BINS tuples of WIDTH hex digits each; a bin without k-mers has dashes."""
+    digits = F.transform(bins, lambda x: F.lpad(F.lower(F.hex(x.cast("long").bitwiseAND(F.lit((1 << 32) - 1)))), WIDTH, "0"))
+    return F.concat_ws("", F.transform(digits, lambda x: F.coalesce(x, F.lit(NOTHING))))
+
+
+def fingerprint(text: Column) -> Column:
+    return written(tuples(text))
+
+
 def likeness(a: Column, b: Column) -> Column:
     """Share of equal tuples among the bins that either text fills; 1 if neither fills any."""
     def counts(s: Column) -> Column:
@@ -99,12 +109,14 @@ def likeness(a: Column, b: Column) -> Column:
     return bound(F.struct(a.alias("a"), b.alias("b")), counts)
 
 
-def with_next(docs: DataFrame, columns: list[str], group_rows: int = 128) -> DataFrame:
+def with_next(docs: DataFrame, columns: list[str], group_rows: int = 128,
+              made: dict[str, Column] | None = None) -> DataFrame:
     """Rows with next_<column>: the row after it in ascending doc_id, after the last one the first.
 
     Rows with one doc_id follow each other by their text's hash. The different pairs of both are numbered, so keys of any
     type and spread, null ones too, are dealt into ranges of `group_rows` pairs, and the neighbour is found within a
-    range. The first rows of each range are also sent to the range before it.
+    range. The first rows of each range are also sent to the range before it. The columns `made` are added to rows that
+    know their place, so the first of the two shuffles does not carry them.
     """
     key = F.struct("doc_id", F.xxhash64("text").alias("hash"))
     numbered = number_rows(docs.select(key.alias("key")).distinct(), "key", "number")
@@ -120,9 +132,11 @@ def with_next(docs: DataFrame, columns: list[str], group_rows: int = 128) -> Dat
 
     own = seat(F.col("part"), False, F.lit(False))
     visit = seat(F.when(F.col("part") == 0, F.lit(last)).otherwise(F.col("part") - 1), True, F.col("part") == 0)
-    sent = placed.withColumn("to", F.explode(F.when(F.col("is_first"), F.array(own, visit)).otherwise(F.array(own))))
+    columns_out = [*docs.columns, *(made or {})]
+    sent = placed.withColumns(made or {}).withColumn(
+        "to", F.explode(F.when(F.col("is_first"), F.array(own, visit)).otherwise(F.array(own))))
     order = Window.partitionBy("to.part").orderBy("to.after", "to.guest", "doc_id", "key_hash", *columns)
-    return (sent.select(*docs.columns, "to", *[F.lead(c).over(order).alias(f"next_{c}") for c in columns])
+    return (sent.select(*columns_out, "to", *[F.lead(c).over(order).alias(f"next_{c}") for c in columns])
             .where("not to.guest").drop("to"))
 
 
@@ -136,10 +150,10 @@ def order_minhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     give empty results. Very long texts are read whole; places are kept modulo 2**24 words.
     """
     base = docs.select(docs[id_col].alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
-    printed = base.withColumn("fingerprint", fingerprint(F.col("text")))
-    both = with_next(printed, ["text", "fingerprint"])
+    both = with_next(base, ["text", "bins"], made={"bins": tuples(F.col("text"))})
     half = F.floor(F.length("text") / 2).cast("int")
-    edited = both.select("doc_id", F.length("text").cast("long").alias("n_chars"), "fingerprint", "next_fingerprint",
+    edited = both.select("doc_id", F.length("text").cast("long").alias("n_chars"),
+                         written(F.col("bins")).alias("fingerprint"), written(F.col("next_bins")).alias("next_fingerprint"),
                          F.concat(F.substr("text", F.lit(1), F.length("text") - half),
                                   F.substr("next_text", F.lit(1), half)).alias("edited"))
     done = edited.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint",
