@@ -97,16 +97,22 @@ def fingerprint(text: Column) -> Column:
     return written(tuples(text))
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """Share of equal tuples among the bins that either text fills; 1 if neither fills any."""
+def same_share(a: Column, b: Column) -> Column:
+    """Share of equal tuples among the bins that either of two lists of tuples fills; 1 if neither fills any."""
     def counts(s: Column) -> Column:
-        part = lambda f, i: F.substr(f, i * WIDTH + 1, F.lit(WIDTH))
-        places = F.sequence(F.lit(0), F.lit(BINS - 1))
-        filled = F.filter(places, lambda i: (part(s["a"], i) != NOTHING) | (part(s["b"], i) != NOTHING))
-        same = F.filter(places, lambda i: (part(s["a"], i) == part(s["b"], i)) & (part(s["a"], i) != NOTHING))
-        return F.when(F.size(filled) == 0, F.lit(1.0)).otherwise(F.size(same) / F.size(filled))
+        filled = F.size(F.filter(s, lambda p: p["a"].isNotNull() | p["b"].isNotNull()))
+        same = F.size(F.filter(s, lambda p: p["a"] == p["b"]))
+        return F.when(filled == 0, F.lit(1.0)).otherwise(same / filled)
+
+    return bound(F.zip_with(a, b, lambda x, y: F.struct(x.alias("a"), y.alias("b"))), counts)
 
-    return bound(F.struct(a.alias("a"), b.alias("b")), counts)
+
+def likeness(a: Column, b: Column) -> Column:
+    """`same_share` of two fingerprints."""
+    def parts(f: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)),
+                           lambda i: F.nullif(F.substr(f, i * WIDTH + 1, F.lit(WIDTH)), F.lit(NOTHING)))
+    return same_share(parts(a), parts(b))
 
 
 def with_next(docs: DataFrame, columns: list[str], group_rows: int = 128,
@@ -152,12 +158,12 @@ def order_minhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     base = docs.select(docs[id_col].alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
     both = with_next(base, ["text", "bins"], made={"bins": tuples(F.col("text"))})
     half = F.floor(F.length("text") / 2).cast("int")
-    edited = both.select("doc_id", F.length("text").cast("long").alias("n_chars"),
-                         written(F.col("bins")).alias("fingerprint"), written(F.col("next_bins")).alias("next_fingerprint"),
+    edited = both.select("doc_id", F.length("text").cast("long").alias("n_chars"), "bins", "next_bins",
                          F.concat(F.substr("text", F.lit(1), F.length("text") - half),
                                   F.substr("next_text", F.lit(1), half)).alias("edited"))
-    done = edited.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint",
-                         fingerprint(F.col("edited")).alias("edited_fingerprint"), "next_fingerprint")
-    return done.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
-                       likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
-                       likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"))
+    done = edited.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "bins",
+                         tuples(F.col("edited")).alias("edited_bins"), "next_bins")
+    return done.select("doc_id", "n_chars", "edited_sha256", written(F.col("bins")).alias("fingerprint"),
+                       written(F.col("edited_bins")).alias("edited_fingerprint"),
+                       same_share(F.col("bins"), F.col("edited_bins")).alias("near_edited"),
+                       same_share(F.col("bins"), F.col("next_bins")).alias("near_next"))

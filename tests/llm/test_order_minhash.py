@@ -81,3 +81,12 @@ def test_repeated_and_null_keys_are_spread(spark):
     assert sorted(r.next_text for r in got) == sorted(t for _, t in rows)
     steps = [(r.doc_id, r.next_doc_id) for r in got if r.doc_id != r.next_doc_id]
     assert sorted(steps, key=str) == sorted([(None, 5), (5, 6), (6, None)], key=str)
+
+
+def test_likeness_of_fingerprints_is_that_of_their_tuples(spark):
+    texts = ["a b c d", "a b c e", "", "x", "a b c d e f g h i j k l m n o p"]
+    rows = spark.createDataFrame([(a, b) for a in texts for b in texts], "a string, b string")
+    both = rows.select(om.likeness(om.fingerprint(F.col("a")), om.fingerprint(F.col("b"))).alias("written"),
+                       om.same_share(om.tuples(F.col("a")), om.tuples(F.col("b"))).alias("whole"), (F.col("a") == F.col("b")).alias("same"))
+    for r in both.collect():
+        assert r.written == r.whole and (not r.same or r.whole == 1.0)
