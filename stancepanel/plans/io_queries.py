@@ -1,4 +1,4 @@
-"""Queries that write a table through the library's writers and read it back (IO2-IO9).
+"""Queries that write a table through the library's writers and read it back (IO2-IO9), and the report on crosswalks.
 
 Each run writes into a new folder of the shared scratch folder, so runs do not meet.
 """
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from stancepanel.plans.registry import R, query, rounded, table
 from stancepanel.sources import tables
-from stancepanel.sources.lexicon import read_lexicon
+from stancepanel.sources.lexicon import clashing_codes, read_lexicon
 
 
 def new_path(spark, name: str) -> str:
@@ -97,3 +97,9 @@ def io9(spark, d):
     orders = tables.require_columns(table(spark, d, "orders"), needed)
     return orders.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n_orders"),
                                                F.countDistinct("o_custkey").alias("n_customers"))
+
+
+@query("j1_clashing_codes", """SELECT p_name, count(DISTINCT p_brand) AS n_codes, min(p_brand) AS taken,
+  max(p_brand) AS largest FROM part WHERE p_name IS NOT NULL GROUP BY p_name HAVING count(DISTINCT p_brand) > 1""")
+def j1_clashes(spark, d):
+    return clashing_codes(table(spark, d, "part"), "p_name", "p_brand")

@@ -65,7 +65,8 @@ def map_codes(df: DataFrame, crosswalk: DataFrame, key: str, code: str,
               to: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Attach a code from a crosswalk (key, code); drop and report unmapped keys.
 
-    Returns the mapped rows and the distinct keys that found no code.
+    Returns the mapped rows and the distinct keys that found no code. Of several codes of one key the smallest is
+    taken; `clashing_codes` reports such keys.
     """
     to = to or code
     table = crosswalk.groupBy(F.col(key).alias("_key")).agg(F.min(code).alias(to))
@@ -73,3 +74,10 @@ def map_codes(df: DataFrame, crosswalk: DataFrame, key: str, code: str,
     mapped = joined.where(F.col(to).isNotNull())
     unmapped = joined.where(F.col(to).isNull() & F.col(key).isNotNull()).select(key).distinct()
     return mapped, unmapped
+
+
+def clashing_codes(crosswalk: DataFrame, key: str, code: str) -> DataFrame:
+    """Keys of a crosswalk with more than one code: how many, the one that `map_codes` takes, and the largest."""
+    return (crosswalk.where(F.col(key).isNotNull()).groupBy(key).agg(
+        F.countDistinct(code).alias("n_codes"), F.min(code).alias("taken"), F.max(code).alias("largest"))
+        .where(F.col("n_codes") > 1))

@@ -15,7 +15,7 @@ from stancepanel.operators import panel as pa
 from stancepanel.operators import summary as su
 from stancepanel.plans import fixture_parse
 from stancepanel.sources import tables
-from stancepanel.sources.lexicon import map_codes, read_lexicon
+from stancepanel.sources.lexicon import clashing_codes, map_codes, read_lexicon
 
 
 @pytest.fixture
@@ -109,6 +109,12 @@ def test_crosswalk_report(spark):
     assert [tuple(r) for r in mapped.collect()] == [("a", "A")] and [r["k"] for r in unmapped.collect()] == ["b"]
 
 
+def test_clashing_codes_are_reported(spark):
+    rows = [("a", "1"), ("a", "1"), ("b", "2"), ("b", "0"), ("c", None), ("c", "5"), (None, "1"), (None, "2")]
+    crosswalk = spark.createDataFrame(rows, "name string, code string")
+    assert [tuple(r) for r in clashing_codes(crosswalk, "name", "code").collect()] == [("b", 2, "0", "2")]
+
+
 def test_lags_with_a_gap(spark):
     df = spark.createDataFrame([(1, 2000, 1), (1, 2001, 2), (1, 2003, 3), (1, 2004, 4)], "u int, t int, v int")
     rows = pa.row_lags(df, "u", "t", ["v"], [1]).orderBy("t").collect()
