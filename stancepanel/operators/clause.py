@@ -10,9 +10,13 @@ partition hot.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stancepanel.functions import fixed_values as fixed
@@ -242,26 +246,94 @@ def is_clause_head() -> Column:
         (F.col("deprel") == "conj") & F.col("upos").isin("VERB", "AUX"))
 
 
-def clause_heads(tokens: DataFrame, keep=(), max_hops: int = 3, parents: DataFrame | None = None) -> DataFrame:
-    """Each token with its nearest clausal head within `max_hops` parents.
+#: Stands for a null id.
+NO_ID = np.iinfo(np.int64).min
+
+
+def _same_sentence(rows: pa.RecordBatch) -> np.ndarray:
+    """Whether each row but the first is of the sentence of the row before it. A null key is of no sentence."""
+    pairs = [pc.equal(rows.column(c).slice(1), rows.column(c).slice(0, rows.num_rows - 1)) for c in SENTENCE]
+    return pc.fill_null(pc.and_(*pairs), False).to_numpy(zero_copy_only=False)
+
+
+def _walked(rows: pa.RecordBatch, max_hops: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers and the clausal heads they reach, for whole sentences sorted by (ut, sent_id, tok_id).
 
-    Tokens follow their parents by equality joins on (sentence, token), so no
-    sentence is gathered and a sentence of any length is spread by its tokens.
-    All hops read one shuffle of the narrow parent table. `parents`, if given,
-    is a token table that holds the same sentences and costs less to read.
+    As in a join, a row goes on once for each row that has its parent's id, and null ids and keys meet nothing.
     """
-    slim = tokens.select(*SENTENCE, "tok_id", "head", is_clause_head().alias("is_head"), *keep)
-    parent = (tokens if parents is None else parents).select(
-        *SENTENCE, F.col("tok_id").alias("at"), F.col("head").alias("up"), is_clause_head().alias("up_is_head"))
-    walk = (slim.withColumn("clause_head_id", F.when(F.col("is_head"), F.col("tok_id")))
-            .withColumnRenamed("head", "at"))
+    tok, head = (pc.fill_null(rows.column(c).cast(pa.int64()), NO_ID).to_numpy(zero_copy_only=False)
+                 for c in ("tok_id", "head"))
+    is_head = pc.fill_null(rows.column("is_head"), False).to_numpy(zero_copy_only=False)
+    known = pc.and_(*(rows.column(c).is_valid() for c in SENTENCE)).to_numpy(zero_copy_only=False)
+    sentence = np.r_[0, np.cumsum(~_same_sentence(rows))]
+    parents = np.flatnonzero(known & (tok != NO_ID))
+    if "token_row" in rows.schema.names:
+        parents = parents[np.sort(np.unique(rows.column("token_row").to_numpy()[parents], return_index=True)[1])]
+    ids = np.unique(np.r_[tok[parents], 0])
+    keys = sentence[parents] * len(ids) + np.searchsorted(ids, tok[parents])
+    repeated = bool((keys[1:] == keys[:-1]).any())
+    row, at, found = np.arange(len(tok)), head, np.where(is_head, tok, NO_ID)
+    out = []
     for _ in range(max_hops):
-        walk = (walk.join(parent, [*SENTENCE, "at"], "left")
-                .withColumn("clause_head_id",
-                            F.coalesce("clause_head_id", F.when(F.col("up_is_head"), F.col("at"))))
-                .drop("at", "up_is_head").withColumnRenamed("up", "at"))
-    return (walk.where(F.col("clause_head_id").isNotNull())
-            .select(*SENTENCE, "tok_id", *keep, "clause_head_id"))
+        if not repeated:  # who has arrived would only be joined to one parent more
+            there = found != NO_ID
+            out.append((row[there], found[there]))
+            row, at, found = row[~there], at[~there], found[~there]
+        place = np.minimum(np.searchsorted(ids, at), len(ids) - 1)
+        key = np.where(known[row] & (ids[place] == at), sentence[row] * len(ids) + place, -1)
+        first = np.searchsorted(keys, key)
+        many = np.searchsorted(keys, key, side="right") - first
+        times = np.maximum(many, 1) if repeated else many
+        of = np.repeat(np.arange(len(row)), times)
+        nth = np.arange(len(of)) - np.repeat(np.cumsum(times) - times, times)
+        row, at, found, met = row[of], at[of], found[of], many[of] > 0
+        parent = np.full(len(of), -1)
+        parent[met] = parents[(first[of] + nth)[met]]
+        found = np.where((found == NO_ID) & met & is_head[parent], at, found)
+        at = np.where(met, head[parent], NO_ID)
+    there = found != NO_ID
+    out.append((row[there], found[there]))
+    return np.concatenate([r for r, _ in out]), np.concatenate([f for _, f in out])
+
+
+def clause_heads(tokens: DataFrame, keep=(), max_hops: int = 3, token_row: str | None = None) -> DataFrame:
+    """Each token with its nearest clausal head within `max_hops` parents.
+
+    One shuffle deals narrow rows by sentence, and all hops are made in the sorted partition. A task holds the ids of
+    one sentence and a batch, some 40 bytes a token, so sentences are bounded by their text, which is one value anyway.
+    `token_row` names a column that is the same in rows made from one token; such rows are one parent.
+    """
+    slim = tokens.select(*SENTENCE, "tok_id", "head", is_clause_head().alias("is_head"), *keep,
+                         *([] if token_row is None else [F.col(token_row).alias("token_row")]))
+    reached = slim.select(*SENTENCE, "tok_id", *keep, F.coalesce("tok_id", "head").alias("clause_head_id")).schema
+    kind = "long" if reached["clause_head_id"].dataType.simpleString() == "bigint" else "int"
+
+    def heads(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = pa.Table.from_batches(rows).combine_chunks().to_batches(max_chunksize=None)[0]
+        row, found = _walked(whole, max_hops)
+        table = pa.Table.from_batches([whole]).select([*SENTENCE, "tok_id", *keep]).take(pa.array(row))
+        yield from table.append_column("clause_head_id", pa.array(found, pa.int64() if kind == "long" else pa.int32())
+                                       ).to_batches(max_chunksize=50_000)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # of a sentence that may go on
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            starts = np.flatnonzero(~_same_sentence(batch)) + 1
+            last = int(starts[-1]) if len(starts) else 0
+            edge = held and pa.concat_batches([held[-1].slice(held[-1].num_rows - 1), batch.slice(0, 1)])
+            if held and (last or not _same_sentence(edge)[0]):
+                yield from heads([*held, batch.slice(0, last)])
+                held = []
+            elif last:
+                yield from heads([batch.slice(0, last)])
+            held.append(batch.slice(last))
+        if held:
+            yield from heads(held)
+
+    dealt = slim.repartition(*SENTENCE).sortWithinPartitions(*SENTENCE, "tok_id")
+    return dealt.mapInArrow(run, reached)
 
 
 CLAUSE_STANCE_UPOS = {s: fixed.STANCE_UPOS[s]
@@ -276,10 +348,11 @@ def _stance_flags(tokens: DataFrame, lexicon: DataFrame) -> DataFrame:
         "is_booster": flag((F.col("type") == "booster") & (F.col("subtype") == "emphatic"))})
 
 
-def clause_words(tokens: DataFrame, lexicon: DataFrame, parents: DataFrame | None = None, **walk) -> DataFrame:
+def clause_words(tokens: DataFrame, lexicon: DataFrame, **walk) -> DataFrame:
     """C14: words, hedges and boosters per clause head."""
-    walked = clause_heads(_stance_flags(tokens, lexicon), ["is_word", "is_hedge", "is_booster"],
-                          parents=tokens if parents is None else parents, **walk)
+    numbered = tokens.withColumn("token_row", F.monotonically_increasing_id())  # a term may be listed twice
+    walked = clause_heads(_stance_flags(numbered, lexicon), ["is_word", "is_hedge", "is_booster"],
+                          token_row="token_row", **walk)
     return walked.groupBy(*SENTENCE, "clause_head_id").agg(
         F.sum("is_word").alias("n_words"), F.sum("is_hedge").alias("n_hedge_core"),
         F.sum("is_booster").alias("n_booster_core"))
@@ -289,21 +362,21 @@ def document_clause_hedging(tokens: DataFrame, power: DataFrame, lexicon: DataFr
                             **walk) -> DataFrame:
     """Clause totals per document, power clauses apart from the others.
 
-    Clause counts and power marks meet in one aggregation on the clause key.
+    Clause counts and power marks meet in one aggregation on the clause key. Documents without a power clause go when
+    only a row for each document and side is left: a mark always makes one of the power side.
     """
-    arguments = power_arguments(tokens, power)
-    inside = restrict_documents(tokens, arguments)
-    clauses = clause_words(inside, lexicon, parents=tokens, **walk).withColumn("is_power", F.lit(None).cast("int"))
-    marks = arguments.select(*SENTENCE, F.col("predicate_id").alias("clause_head_id"),
-                             F.lit(1).alias("is_power"))
+    counts = ("n_words", "n_hedge_core", "n_booster_core")
+    clauses = (clause_words(tokens, lexicon, **walk).where(F.col("ut").isNotNull() & F.col("sent_id").isNotNull())
+               .withColumn("is_power", F.lit(None).cast("int")))
+    marks = power_arguments(tokens, power).select(
+        *SENTENCE, F.col("predicate_id").alias("clause_head_id"), F.lit(1).alias("is_power"))
     merged = clauses.unionByName(marks, allowMissingColumns=True).groupBy(
-        *SENTENCE, "clause_head_id").agg(
-        *[F.sum(c).alias(c) for c in ("n_words", "n_hedge_core", "n_booster_core")],
-        F.max("is_power").alias("is_power"))
-    return (merged.where(F.col("n_words").isNotNull())
-            .groupBy("ut", zero_if_missing("is_power").alias("in_power_clause"))
-            .agg(F.count(F.lit(1)).alias("n_clauses"),
-                 *[F.sum(c).alias(c) for c in ("n_words", "n_hedge_core", "n_booster_core")]))
+        *SENTENCE, "clause_head_id").agg(*[F.sum(c).alias(c) for c in counts], F.max("is_power").alias("is_power"))
+    sides = merged.groupBy("ut", zero_if_missing("is_power").alias("in_power_clause")).agg(
+        F.count("n_words").alias("n_clauses"), *[F.sum(c).alias(c) for c in counts])
+    marked = F.max("in_power_clause").over(Window.partitionBy("ut")) == 1
+    return (sides.withColumn("_marked", marked)
+            .where(F.col("_marked") & (F.col("n_clauses") > 0) & F.col("ut").isNotNull()).drop("_marked"))
 
 
 def agency_slots(tokens: DataFrame, power: DataFrame) -> DataFrame:

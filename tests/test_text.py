@@ -165,6 +165,47 @@ def test_clause_walk_equals_walk_by_dictionary(spark):
         assert len(got) == len(want) and set(got) == want
 
 
+def test_clause_walk_shuffles_tokens_once(spark):
+    t = parse(spark, [("a", "VERB", 0, "root"), ("b", "NOUN", 1, "obj")])
+    text = cl.clause_heads(t)._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Exchange hashpartitioning") == 1 and "Join" not in text
+
+
+@pytest.mark.parametrize("batch", ["3", "10000"])
+def test_clause_walk_meets_repeated_and_null_ids_like_joins(spark, batch):
+    rng = random.Random(5)
+    rows = [(rng.choice(["u", "v", None]), rng.choice([0, 1, None]), rng.choice([1, 2, 3, 4, 5, None]),
+             rng.choice([0, 1, 2, 3, 4, 9, None]), rng.choice(["VERB", "NOUN"]), rng.choice(["root", "conj", "nmod", "obj"]))
+            for _ in range(80)]
+    t = spark.createDataFrame(rows, "ut string, sent_id int, tok_id int, head int, upos string, deprel string")
+    want = []
+    for ut, sent, tok, head, upos, deprel in rows:
+        def is_head(r):
+            return r[5] == "root" or r[5] in fixed.CLAUSE_RELATIONS or (r[5] == "conj" and r[4] == "VERB")
+        walk = [(head, tok if is_head((ut, sent, tok, head, upos, deprel)) else None)]
+        for _ in range(3):
+            step = []
+            for at, found in walk:
+                met = [r for r in rows if None not in (ut, sent, at) and r[:3] == (ut, sent, at)]
+                step += [(r[3], at if found is None and is_head(r) else found) for r in met] or [(None, found)]
+            walk = step
+        want += [(ut, sent, tok, f) for _, f in walk if f is not None]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        got = [tuple(r) for r in cl.clause_heads(t).collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(map(repr, got)) == sorted(map(repr, want)) and len(want) > 40
+
+
+def test_a_term_listed_twice_is_one_parent(spark):
+    chain = [("may", "AUX", 0, "root"), ("b", "NOUN", 1, "obj"), ("c", "NOUN", 2, "nmod")]
+    twice = spark.createDataFrame([("may", "hedge", "modal"), ("may", "booster", "modal")],
+                                  "term string, type string, subtype string")
+    got = cl.clause_words(parse(spark, chain), twice).collect()
+    assert [(r["clause_head_id"], r["n_words"], r["n_hedge_core"]) for r in got] == [(1, 4, 1)]
+
+
 def test_reference_levels(spark, lists):
     t = parse(spark, [("court", "NOUN", 3, "nsubj"), ("Supreme", "PROPN", 1, "compound"), ("rule", "VERB", 0, "root")],
               [("court", "NOUN", 3, "nsubj"), ("turkish", "ADJ", 1, "amod", "Turkish"), ("rule", "VERB", 0, "root")],
