@@ -45,9 +45,9 @@ def read_csv(spark: SparkSession, path: str, schema, columns=None) -> DataFrame:
     return table if columns is None else require_columns(table, columns).select(*columns)
 
 
-def save(df: DataFrame, path: str, partition_by=(), mode: str = "errorifexists") -> None:
+def save(df: DataFrame, path: str, partition_by=(), mode: str = "errorifexists", **options) -> None:
     """IO5: Parquet output."""
-    writer = df.write.mode(mode)
+    writer = df.write.mode(mode).options(**options)
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
 
@@ -104,7 +104,7 @@ def input_key(df: DataFrame, version: str = "") -> str:
 
 
 def stage(df: DataFrame, name: str, folder: str | None = None, reuse: bool = False,
-          partition_by=(), version: str = "") -> DataFrame:
+          partition_by=(), version: str = "", **options) -> DataFrame:
     """IO7/IO8: write an intermediate once and read it back.
 
     Cuts lineage with a table in a shared folder, so losing an executor costs
@@ -120,5 +120,5 @@ def stage(df: DataFrame, name: str, folder: str | None = None, reuse: bool = Fal
     if reuse:
         path = f"{path}-{input_key(df, version)}"
     if not (reuse and _exists(spark, path)):
-        save(df, path, partition_by, mode="overwrite")
+        save(df, path, partition_by, mode="overwrite", **options)
     return spark.read.parquet(path)

@@ -172,6 +172,21 @@ def test_every_document_with_a_token_is_parsed(spark):
     assert tokens.exceptAll(docs).count() == docs.exceptAll(tokens).count() == 0
 
 
+def test_parse_follows_the_rules(spark):
+    """The short forms that Spark runs against UPOS, HEAD, DEPREL and FEATS, on every closed word, sign and ending."""
+    words = " ".join(w for _, w in fixture_parse.CLOSED).split() + (
+        "The THAT ly Rely able bled ED 7 70 \u0663 \u00aa \u00b5 \u20ac { ~ ^ a z \u00e9 I \u0130stanbul \u4e2d \u4e2d\u6587").split()
+    words += [c * k for c in "xyb" for k in range(1, 12)] + [chr(c) for c in range(33, 127)]
+    rows = [(u, s, t, w) for u, s in ((2, 1), (3, 0)) for t in range(1, 34, 3) for w in words]
+    df = spark.createDataFrame(rows, "ut long, sent_id int, tok_id int, text string")
+    by_rule = df.withColumn("w", F.lower("text")).withColumn("n", F.length("w")).withColumn("upos", F.expr(fixture_parse.UPOS))
+    names = ("year", "field", "head", "upos", "deprel", "feats")
+    want = by_rule.select("ut", "sent_id", "tok_id", "text", *[F.expr(getattr(fixture_parse, c.upper())).alias(c)
+                                                               if c != "upos" else F.col(c) for c in names])
+    got = fixture_parse.parsed(df).select(want.columns)
+    assert got.exceptAll(want).count() == want.exceptAll(got).count() == 0 and got.count() == len(rows)
+
+
 def test_rows_are_numbered_in_order(spark):
     rows = [(k, f"x{k}") for k in random.Random(3).sample(range(5000), 5000)] + [(None, "none")]
     got = number_rows(spark.createDataFrame(rows, "k int, v string"), "k", "n").orderBy("n").collect()
