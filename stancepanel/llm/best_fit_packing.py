@@ -10,6 +10,7 @@ import math
 import re
 import zlib
 from collections import defaultdict
+from contextlib import nullcontext
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +20,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from stancepanel.llm.bpe import RankMerger
-from stancepanel.llm.common import arrow_map, id_and_text, slices, stage
+from stancepanel.llm.common import arrow_map, id_and_text, slices, small_batches, stage
 
 Pattern = tuple[tuple[int, ...], int]
 
@@ -206,16 +207,18 @@ def assignments(patterns: list[Pattern]) -> list[tuple[int, int, int, int, int]]
 
 
 def pack(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int = 0, group_rows: int = 500,
-         id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+         id_col: str = "doc_id", text_col: str = "text", batch: int | None = None) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     A document is its ids and one end id, so a null or empty text is one piece of length 1. Pieces of repeated rows or
     repeated keys are packed each for itself; ties are broken by doc_id and piece. Null keys are kept. An empty table
     gives an empty result. Pieces of one length are numbered in groups by the hash of their key, of about `group_rows`
     or the square root of their number, whichever is more: no length has to be in one task, and groups are few too.
+    A `batch` of fewer texts than Spark's takes less memory, and some more time, as words are merged in smaller lots.
     """
     spark = docs.sparkSession
-    cut = stage(pieces(docs, vocabulary, capacity, end_id, id_col, text_col), "pieces")
+    with small_batches(spark, batch) if batch else nullcontext():
+        cut = stage(pieces(docs, vocabulary, capacity, end_id, id_col, text_col), "pieces")
     counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}
     parts = spark.createDataFrame([(x, -(-n // max(group_rows, math.isqrt(n)))) for x, n in counts.items()],
                                   "length long, parts long")  # one row for each length

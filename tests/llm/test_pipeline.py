@@ -1,7 +1,7 @@
 """The pipeline's stages, each against its own input."""
 
 import corpus_pipeline
-from stancepanel.llm import secret_scans
+from stancepanel.llm import best_fit_packing, secret_scans
 from stancepanel.llm.common import stage
 
 SMALL = "/root/testdata/sf0.001"
@@ -33,3 +33,19 @@ def test_run_on_an_empty_table(spark):
     for _, step in corpus_pipeline.STAGES:
         docs = step(spark, docs, SMALL)
     assert docs.count() == 0
+
+
+def test_packing_reads_small_batches(spark, monkeypatch):
+    seen = []
+    pieces = best_fit_packing.pieces
+
+    def watched(docs, *rest):
+        seen.append(int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")))
+        return pieces(docs, *rest)
+
+    monkeypatch.setattr(best_fit_packing, "pieces", watched)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    packed = corpus_pipeline.pack_sequences(spark, docs, SMALL)
+    assert seen == [1_000] and spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+    assert packed.select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
