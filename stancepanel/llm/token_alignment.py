@@ -24,10 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stancepanel.llm.bpe import byte_characters
-from stancepanel.llm.common import arrow_map, id_and_text, slices, stage
+from stancepanel.llm.common import arrow_map, id_and_text, slices, small_batches, stage
 
 #: Characters of a batch's texts that are aligned together.
-TOGETHER = 1_000_000
+TOGETHER = 250_000
+#: Texts of an Arrow batch. A text has some four links to ten of its bytes, and several arrays are as long as these.
+BATCH = 500
 #: Above this code point the two byte-level libraries differ in the version of their character tables.
 STABLE = "՗"
 #: How the byte-level file cuts words; checked against the file.
@@ -293,14 +295,15 @@ def align(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", tex
     counts. Null keys stay, an empty table gives an empty result, other columns are not read, texts of any length are
     aligned whole.
     """
-    rows = stage(described(docs, path_a, path_b, id_col, text_col), "aligned")
-    known = possible_pairs(path_a, path_b)
-    count = link_counts(rows, len(known))
+    spark, known = docs.sparkSession, possible_pairs(path_a, path_b)
+    with small_batches(spark, BATCH):
+        rows = stage(described(docs, path_a, path_b, id_col, text_col), "aligned")
+        count = link_counts(rows, len(known))
     b = known % len(load(path_b).bytes_of)
     most = np.zeros(b.max(initial=0) + 1, np.int64)
     np.maximum.at(most, b, count)
     best = count == most[b]
-    of_pair = rows.sparkSession.sparkContext.broadcast((count, best))  # as long as possible_pairs, whatever the rows
+    of_pair = spark.sparkContext.broadcast((count, best))  # as long as possible_pairs, whatever the rows
 
     def step(batch: pa.RecordBatch) -> pa.Table:
         counts, bests = of_pair.value
@@ -314,5 +317,6 @@ def align(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", tex
                          "groups_sha256": batch.column("groups_sha256")})
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return arrow_map(rows, step, f"doc_id {kind}, n_a long, n_b long, n_groups long, n_links long, n_best long, "
-                                 "count_sum long, groups_sha256 string")
+    with small_batches(spark, BATCH):
+        return stage(arrow_map(rows, step, f"doc_id {kind}, n_a long, n_b long, n_groups long, n_links long, "
+                                           "n_best long, count_sum long, groups_sha256 string"), "counted")

@@ -133,3 +133,20 @@ def test_linked_tokens_are_possible_pairs():
         if x:
             end_of = {e: i for i, _, e in x[1]}
             assert {i * width + end_of[e] for i, _, e in x[0] if e in end_of} <= set(known.tolist())
+
+
+def test_texts_go_to_python_in_small_batches(spark, monkeypatch):
+    """Links and their sums of a batch are held at once, so every pass over the texts or links takes few rows."""
+    seen = []
+    real = token_alignment.stage
+
+    def watched(df, name):
+        seen.append(int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")))
+        return real(df, name)
+
+    monkeypatch.setattr(token_alignment, "stage", watched)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    docs = spark.createDataFrame([(i, f"word {i} and more words") for i in range(700)], "doc_id long, text string")
+    assert token_alignment.align(docs, A, B).count() == 700
+    assert len(seen) == 2 and max(seen) <= 500 and spark.conf.get(
+        "spark.sql.execution.arrow.maxRecordsPerBatch") == before
