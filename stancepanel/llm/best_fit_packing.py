@@ -14,6 +14,7 @@ from contextlib import nullcontext
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,6 +23,9 @@ from pyspark.sql.window import Window
 from stancepanel.llm.bpe import RankMerger
 from stancepanel.llm.common import arrow_map, id_and_text, slices, small_batches, stage
 
+#: Characters whose words are looked up together: a word that comes several times in them is looked up once.
+TOGETHER = 16_000_000
+
 Pattern = tuple[tuple[int, ...], int]
 
 
@@ -35,33 +39,51 @@ class Encoder:
         self.merger, self.remembered, self.known = RankMerger(path), remembered, {}
         self.library = Tokenizer.from_file(path)
         self.pattern = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-        self.words = re.compile("[^ \n]+")
         #: Words with these are left to the library: its normal forms matter there, or its special tokens.
         self.odd = re.compile("[^\x00-ɏ]|" + "|".join(map(re.escape, self.merger.specials)))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        words = [self.words.findall(t) for t in texts]
+        """Words are cut, numbered and put together again by Arrow; Python sees each different word once."""
+        spaced = pc.replace_substring(pa.array(texts, pa.large_string()), "\n", " ")
+        words = pc.split_pattern(spaced, " ")
+        coded = words.values.dictionary_encode()
+        different = coded.dictionary.to_pylist()
         if len(self.known) > self.remembered:
             self.known.clear()
-        new = list(set().union(*words).difference(self.known))
+        ids = list(map(self.known.get, different))
+        new = [i for i, own in enumerate(ids) if own is None]
+        self.learn([different[i] for i in new])
+        for i in new:
+            ids[i] = self.known[different[i]]
+        flat = pa.array(ids, pa.large_binary()).take(coded.indices)
+        if not len(flat):
+            return [b""] * len(texts)
+        edge = np.frombuffer(flat.buffers()[1], np.int64)[flat.offset:][words.offsets.to_numpy()].tolist()
+        held = memoryview(flat.buffers()[2] or b"")
+        return [bytes(held[i:j]) for i, j in zip(edge, edge[1:])]
+
+    def learn(self, new: list[str]) -> None:
+        """Ids of words that are not known yet."""
         odd = [w for w in new if self.odd.search(w)]
         for start in range(0, len(odd), 1000):
             part = odd[start:start + 1000]
             for w, e in zip(part, self.library.encode_batch(part, add_special_tokens=False)):
                 self.known[w] = np.array(e.ids, "<u4").tobytes()
-        plain = [w for w in new if w not in self.known]
-        lower = dict.fromkeys(w.lower() for w in plain)
-        number: dict[str, int] = {}
-        split = [[number.setdefault(p, len(number)) for p in self.pattern.findall(w)] for w in lower]
+        plain = [w for w in new if w not in self.known] if odd else new
+        low = [w.lower() for w in plain]
+        lower = dict.fromkeys(low)
+        alone = [w for w in lower if w.isalpha()]  # one piece
+        number = dict(zip(alone, range(len(alone))))
+        mixed = {w: [number.setdefault(p, len(number)) for p in self.pattern.findall(w)]
+                 for w in lower if not w.isalpha()}
         ids, sizes = self.merger.encode([p.encode() for p in number])
         raw, edge = ids.astype("<u4").tobytes(), [0, *(4 * np.cumsum(sizes)).tolist()]
         cut = [raw[i:j] for i, j in zip(edge, edge[1:])]
-        for w, own in zip(lower, split):
-            lower[w] = cut[own[0]] if len(own) == 1 else b"".join([cut[i] for i in own])
-        for w in plain:
-            self.known[w] = lower[w.lower()]
-        get = self.known.__getitem__
-        return [b"".join(map(get, ws)) for ws in words]
+        lower.update(zip(alone, cut))
+        for w, own in mixed.items():
+            lower[w] = b"".join([cut[i] for i in own])
+        for w, own in zip(plain, low):
+            self.known[w] = lower[own]
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -80,7 +102,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int = 0, id_
         ids, keys = batch.column("doc_id"), []
         piece, start, length, crc = [], [], [], []
         row, width, end = 0, 4 * capacity, int(end_id).to_bytes(4, "little")
-        for part in slices(batch.column("text").to_pylist()):
+        for part in slices(batch.column("text").to_pylist(), TOGETHER):
             for raw in encoder(vocabulary).encode(part):
                 raw += end
                 for n, at in enumerate(range(0, len(raw), width)):

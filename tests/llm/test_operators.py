@@ -456,3 +456,16 @@ def test_latent_space_is_the_leading_one(spark):
     part = decontamination.latent_space(rows, 12, 4, passes=12)
     _, _, v = np.linalg.svd(dense)
     assert np.allclose(part[:, 0] @ v[0], np.sign(part[:, 0] @ v[0]), atol=1e-3)
+
+
+def test_packing_learns_each_word_once(monkeypatch):
+    """Ids are the library's whatever stands between words; a word known from earlier texts is not merged again."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, own, learned = Tokenizer.from_file(path), best_fit_packing.Encoder(path), []
+    learn = own.learn
+    monkeypatch.setattr(own, "learn", lambda new: (learned.extend(new), learn(new))[1])
+    texts = ["", " ", "\n\n", "One  word\n and\tone\rword ", "it's ÉCOLE 12 日本 İx <|endoftext|>", "one"]
+    for part in (texts, [], [""], texts[::-1]):
+        got = [np.frombuffer(x, "<u4").tolist() for x in own.encode(part)]
+        assert got == [e.ids for e in library.encode_batch(part, add_special_tokens=False)]
+    assert len(learned) == len(set(learned))
