@@ -17,6 +17,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from stancepanel.llm.anchors import Selector
 from stancepanel.llm.common import arrow_map, stage
@@ -24,6 +25,8 @@ from stancepanel.llm.common import arrow_map, stage
 WINDOW, GRAM = 200, 64
 LEFT = WINDOW - GRAM  # bytes before an anchor that a window over it can reach
 WIDTH = LEFT + WINDOW
+#: One text of so many is looked at for frequent k-grams, which come so often in these.
+SAMPLED, OFTEN = 64, 100
 PAD = b"\xff"  # never a byte of UTF-8 text
 _SELECTOR: list[Selector] = []
 
@@ -277,26 +280,44 @@ def windows_of_big_groups(contexts: DataFrame) -> DataFrame:
     return possible.join(several, ["gram", "lo", "same"], "left_semi").select("r1", "r2", "pos", "lo", F.col("lo").alias("hi"))
 
 
+def repeated_anchors(anchors_found: DataFrame) -> DataFrame:
+    """The anchors whose k-gram comes again: r1, r2, pos, gram, first of its class, again (its class has others too),
+    several (its gram has several classes).
+
+    Most k-grams come once and go no further. Anchors are shuffled once, by k-gram; a task sorts them and looks at
+    neighbours. K-grams that are frequent in a sample of the texts would be one task's: they go class by class. Rows of one class are still sorted by one task.
+    """
+    found = stage(anchors_found, "anchors")
+    often = stage(found.where(F.pmod(F.xxhash64("r1", "r2"), F.lit(SAMPLED)) == 0).groupBy("gram")
+                  .agg(F.count("*").alias("n")).where(F.col("n") >= OFTEN).select("gram", F.lit(True).alias("often")), "often")
+    wide = stage(found.join(often, "gram", "left").where("often").groupBy("gram")
+                 .agg((F.min("class") < F.max("class")).alias("wide")), "wide")
+    dealt = found.join(wide, "gram", "left").withColumn("part", F.when(F.col("wide").isNotNull(), F.col("class"))
+                                                        .otherwise(0))
+    group = Window.partitionBy("gram", "part")
+    in_order = group.orderBy("class", "r1", "r2", "pos")
+    before, after = (F.coalesce(side("class").over(in_order) == F.col("class"), F.lit(False)) for side in (F.lag, F.lead))
+    several = F.coalesce("wide", F.min("class").over(group) < F.max("class").over(group))
+    marked = dealt.select("r1", "r2", "pos", "gram", (~before).alias("first"), (before | after).alias("again"),
+                          several.alias("several"))
+    return stage(marked.where("again or several"), "repeated")
+
+
 def repeated_windows(rows: DataFrame, most_classes: int = 20_000) -> DataFrame:
     """r1, r2, pos, lo, hi: every window of a text that starts anywhere else too, as runs beside anchors.
 
     Groups with more than `most_classes` different contexts (of 336 bytes each) are not gathered in one task.
     """
-    found = stage(anchors(rows), "anchors")
-    classes = found.groupBy("gram", "class").agg(F.count("*").alias("n"),
-                                                 F.min(F.struct("r1", "r2", "pos")).alias("one"))
-    classes = stage(classes, "classes")
-    groups = classes.groupBy("gram").agg(F.count("*").alias("classes")).where("classes > 1")
-    edges = (classes.join(groups, "gram")
-             .select("one.*", "gram", (F.col("classes") > most_classes).alias("big"), (F.col("n") > 1).alias("many"),
-                     "class"))
+    found = repeated_anchors(anchors(rows))
+    classes = found.where("several and first")
+    groups = classes.groupBy("gram").agg(F.count("*").alias("classes"))
+    edges = classes.join(groups, "gram").select("r1", "r2", "pos", "gram", (F.col("classes") > most_classes).alias("big"))
     contexts = stage(contexts_of(edges, rows), "contexts")
     few = windows_of_groups(contexts.where("not big").drop("big"))
     many = windows_of_big_groups(contexts.where("big").drop("big"))
     # A class with several occurrences repeats in all its windows, whatever the others of its group do.
-    copies = (found.select("r1", "r2", "pos", "gram", "class")
-              .join(classes.where("n > 1").select("gram", "class"), ["gram", "class"], "left_semi")
-              .select("r1", "r2", "pos", F.lit(-LEFT).cast("smallint").alias("lo"), F.lit(0).cast("smallint").alias("hi")))
+    copies = found.where("again").select("r1", "r2", "pos", F.lit(-LEFT).cast("smallint").alias("lo"),
+                                         F.lit(0).cast("smallint").alias("hi"))
     return copies.unionAll(few).unionAll(many)
 
 

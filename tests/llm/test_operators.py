@@ -469,3 +469,20 @@ def test_packing_learns_each_word_once(monkeypatch):
         got = [np.frombuffer(x, "<u4").tolist() for x in own.encode(part)]
         assert got == [e.ids for e in library.encode_batch(part, add_special_tokens=False)]
     assert len(learned) == len(set(learned))
+
+
+def test_suffix_frequent_grams_are_counted_alike(spark, monkeypatch):
+    """Anchors are shuffled once and only repeated ones go on; k-grams that are frequent give the same result."""
+    rng = random.Random(8)
+    texts = ["".join(rng.choices("abcdefgh ", k=500)) for _ in range(8)]
+    line = texts[0][:260]
+    rows = [(i, t[:i * 20] + line + t[i * 20:]) for i, t in enumerate(texts)] + [(9, texts[1] * 2), (9, texts[1] * 2), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = []
+    for sampled, often in ((64, 100), (1, 1), (1, 3)):
+        monkeypatch.setattr(suffix_dedup, "SAMPLED", sampled)
+        monkeypatch.setattr(suffix_dedup, "OFTEN", often)
+        got.append(sorted(map(repr, suffix_dedup.remove_repeats(docs).collect())))
+    assert got[0] == got[1] == got[2] and sum("n_removed=0" in r for r in got[0]) == 1
+    found = suffix_dedup.anchors(suffix_dedup.keyed(docs))
+    assert 0 < suffix_dedup.repeated_anchors(found).where("not again and not several").count() + 1 < found.count()
