@@ -11,7 +11,8 @@ The benchmark is a stated query set: it is taken in blocks of items, and each bl
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -122,8 +123,8 @@ def common_subsequence(a: list[str], b: list[str]) -> int:
         places[w] |= 1 << i
     full = (1 << len(a)) - 1
     row = full
-    for w in b:
-        hit = row & places.get(w, 0)
+    for at in filter(None, map(places.get, b)):  # other words leave the row as it is
+        hit = row & at
         row = ((row + hit) | (row - hit)) & full
     return len(a) - row.bit_count()
 
@@ -145,6 +146,8 @@ class Index:
         self.passage = (vectors / norms[:, None]).astype(np.float32)
         self.size = norms.astype(np.float32)
         self.owners, self.starts, self.items = owners, starts, items
+        counts = [Counter(terms[w] for w in i.words) for i in items]
+        self.own = [(np.array(list(c), np.int64), np.array(list(c.values()), np.int64)) for c in counts]
 
     def candidates(self, documents: list[np.ndarray], reach: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Document, first step of the window and passage, where the cosine is at least `reach` times the ratio of the
@@ -165,21 +168,26 @@ class Index:
         windows = blocks[:-1] + np.where(last[:, None], 0, blocks[1:])
         out = []
         for a in range(0, len(windows), 8192):
-            part = windows[a:a + 8192]
-            size = np.maximum(np.linalg.norm(part, axis=1), 1e-12)
-            cosine = (part / size[:, None]) @ self.passage.T
-            w, p = np.nonzero(cosine * size[:, None] >= reach * self.size[None, :])
+            # the cosine times the window's length is the product with the passage of length 1
+            w, p = np.nonzero(windows[a:a + 8192] @ self.passage.T >= reach * self.size[None, :])
             out.append((w + a, p))
         w, p = (np.concatenate([o[i] for o in out]) for i in (0, 1)) if out else (np.zeros(0, int),) * 2
         owner = np.searchsorted(first, w, side="right") - 1
         return owner, w - first[owner], p
 
-    def confirm(self, words: list[str], step: int, passage: int, share: float, answered: float) -> tuple | None:
+    def confirm(self, words: list[str], coded: np.ndarray, step: int, passage: int, share: float,
+                answered: float) -> tuple | None:
         """Item, its common subsequence as a share of its words, and whether its answer is there; None if too little."""
         item: Item = self.items[self.owners[passage]]
         begin = self.starts[passage]  # where in the item the passage starts
         room = max(8, len(item.words) // 4) + STEP
-        region = words[max(0, step * STEP - begin - room):step * STEP + 2 * STEP + len(item.words) - begin + room]
+        first, last = max(0, step * STEP - begin - room), step * STEP + 2 * STEP + len(item.words) - begin + room
+        # a common subsequence has no more words than both hold, in whatever order
+        terms, counts = self.own[self.owners[passage]]
+        held = np.bincount(coded[first:last] + 1, minlength=len(self.terms) + 1)[terms + 1]
+        if np.minimum(held, counts).sum() / len(item.words) < answered:
+            return None
+        region = words[first:last]
         found = common_subsequence(item.words, region) / len(item.words)
         if found < answered:
             return None
@@ -225,10 +233,10 @@ def search(docs: DataFrame, index: Index, reach: float, share: float, answered:
         get = index.terms.get
         for part in slices(batch.column("text").to_pylist(), 1_500_000):
             split = [words_of(t) for t in part]
-            coded = [np.fromiter((get(w, -1) for w in ws), np.int32, len(ws)) for ws in split]
+            coded = [np.fromiter(map(get, ws, repeat(-1)), np.int32, len(ws)) for ws in split]
             best: dict[tuple[int, int], tuple] = {}
             for d, s, p in zip(*(c.tolist() for c in index.candidates(coded, reach))):
-                hit = index.confirm(split[d], s, p, share, answered)
+                hit = index.confirm(split[d], coded[d], s, p, share, answered)
                 if hit and hit[1] > best.get((d, index.owners[p]), (0, -1.0))[1]:
                     best[d, index.owners[p]] = hit
             found += [(row + d, *hit) for (d, _), hit in sorted(best.items())]
