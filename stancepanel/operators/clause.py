@@ -24,6 +24,7 @@ from stancepanel.functions.scalars import ends_with_any, flag, is_capitalised, z
 from stancepanel.operators.sentence import (
     SENTENCE, lemma, match_stance, power_tokens, restrict_documents,
 )
+from stancepanel.sources.tables import more_partitions
 
 NODE = [*SENTENCE, "node"]
 DEFINITIONS = {
@@ -49,7 +50,7 @@ def tree_nodes(tokens: DataFrame, own: dict[str, Column], child: dict[str, Colum
     # A report without content would only widen the shuffle.
     has_content = reduce(lambda a, b: a | b, [F.col(n).isNotNull() for n in names])
     reports = reports.select(*SENTENCE, "r.*").where(has_content)
-    return reports.groupBy(*NODE).agg(*[F.max(n).alias(n) for n in names])
+    return more_partitions(reports, *NODE).groupBy(*NODE).agg(*[F.max(n).alias(n) for n in names])
 
 
 def _only(condition: Column, value: Column | None = None) -> Column:

@@ -103,6 +103,20 @@ def input_key(df: DataFrame, version: str = "") -> str:
     return hashlib.sha256("\n".join([seen, df.schema.json(), version]).encode()).hexdigest()[:24]
 
 
+def more_partitions(df: DataFrame, *keys: str, share: int = 32 << 20) -> DataFrame:
+    """Rows dealt by `keys` so that a partition holds those of about `share` bytes of input files.
+
+    The session's number of partitions stays the same however large the input is, and with it grows what one task
+    holds. Where that number is enough, or rows come from no files, they are left as they are.
+    """
+    spark, files = df.sparkSession, df.inputFiles()
+    if not files:
+        return df
+    size = spark.read.format("binaryFile").load(sorted(files)).agg(F.sum("length")).first()[0]
+    parts = -(-size // share)
+    return df if parts <= int(spark.conf.get("spark.sql.shuffle.partitions")) else df.repartition(parts, *keys)
+
+
 def stage(df: DataFrame, name: str, folder: str | None = None, reuse: bool = False,
           partition_by=(), version: str = "", **options) -> DataFrame:
     """IO7/IO8: write an intermediate once and read it back.
