@@ -25,6 +25,8 @@ from stancepanel.llm.common import arrow_map, id_and_text, slices, small_batches
 
 #: Characters whose words are looked up together: a word that comes several times in them is looked up once.
 TOGETHER = 16_000_000
+#: Words whose ids a Python process remembers.
+REMEMBERED = 1_500_000
 
 Pattern = tuple[tuple[int, ...], int]
 
@@ -32,7 +34,7 @@ Pattern = tuple[tuple[int, ...], int]
 class Encoder:
     """Ids of texts in one Python process, as little-endian bytes. Ids of distinct words are remembered."""
 
-    def __init__(self, path: str, remembered: int = 1_500_000):
+    def __init__(self, path: str, remembered: int = REMEMBERED):
         import regex
         from tokenizers import Tokenizer
 
@@ -86,24 +88,24 @@ class Encoder:
             self.known[w] = lower[own]
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, int], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+def encoder(path: str, remembered: int = REMEMBERED) -> Encoder:
+    if (path, remembered) not in _ENCODERS:
+        _ENCODERS[path, remembered] = Encoder(path, remembered)
+    return _ENCODERS[path, remembered]
 
 
 def pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int = 0, id_col: str = "doc_id",
-           text_col: str = "text") -> DataFrame:
+           text_col: str = "text", remembered: int = REMEMBERED) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: each document's ids and an end id, cut only where over `capacity`."""
     def step(batch: pa.RecordBatch) -> pa.Table:
         ids, keys = batch.column("doc_id"), []
         piece, start, length, crc = [], [], [], []
         row, width, end = 0, 4 * capacity, int(end_id).to_bytes(4, "little")
         for part in slices(batch.column("text").to_pylist(), TOGETHER):
-            for raw in encoder(vocabulary).encode(part):
+            for raw in encoder(vocabulary, remembered).encode(part):
                 raw += end
                 for n, at in enumerate(range(0, len(raw), width)):
                     cut = raw[at:at + width]
@@ -229,18 +231,20 @@ def assignments(patterns: list[Pattern]) -> list[tuple[int, int, int, int, int]]
 
 
 def pack(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int = 0, group_rows: int = 500,
-         id_col: str = "doc_id", text_col: str = "text", batch: int | None = None) -> DataFrame:
+         id_col: str = "doc_id", text_col: str = "text", batch: int | None = None,
+         remembered: int = REMEMBERED) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     A document is its ids and one end id, so a null or empty text is one piece of length 1. Pieces of repeated rows or
     repeated keys are packed each for itself; ties are broken by doc_id and piece. Null keys are kept. An empty table
     gives an empty result. Pieces of one length are numbered in groups by the hash of their key, of about `group_rows`
     or the square root of their number, whichever is more: no length has to be in one task, and groups are few too.
-    A `batch` of fewer texts than Spark's takes less memory, and some more time, as words are merged in smaller lots.
+    A `batch` of fewer texts than Spark's takes less memory, and some more time, as words are merged in smaller lots;
+    fewer `remembered` words do too, as more are merged again.
     """
     spark = docs.sparkSession
     with small_batches(spark, batch) if batch else nullcontext():
-        cut = stage(pieces(docs, vocabulary, capacity, end_id, id_col, text_col), "pieces")
+        cut = stage(pieces(docs, vocabulary, capacity, end_id, id_col, text_col, remembered), "pieces")
     counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}
     parts = spark.createDataFrame([(x, -(-n // max(group_rows, math.isqrt(n)))) for x, n in counts.items()],
                                   "length long, parts long")  # one row for each length
