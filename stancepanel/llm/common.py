@@ -67,9 +67,9 @@ def in_fold(id_column, folds: int):
     return F.crc32(id_column.cast("string")) % folds
 
 
-def slices(texts: list[str], limit: int = 4_000_000) -> Iterator[list[str]]:
-    """Consecutive texts of about `limit` characters together; one longer text comes alone."""
-    part: list[str] = []
+def slices(texts: list, limit: int = 4_000_000) -> Iterator[list]:
+    """Consecutive texts (or arrays) of about `limit` characters (or members) together; one longer text comes alone."""
+    part: list = []
     size = 0
     for text in texts:
         if part and size + len(text) > limit:

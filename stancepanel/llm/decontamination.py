@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stancepanel.llm.common import arrow_map, id_and_text, slices
+from stancepanel.llm.common import arrow_map, id_and_text, slices, stage
 
 WORD = re.compile(r"\w+")
 STEP = 32  # words; a window is two steps
@@ -31,20 +31,36 @@ def words_of(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
-def term_frequencies(docs: DataFrame, terms: dict[str, int]) -> dict[str, int]:
+def coded_words(docs: DataFrame, terms: dict[str, int]) -> DataFrame:
+    """doc_id and words of every document: 32-bit numbers of its words in order, -1 for words that are no terms."""
+    def step(batch: pa.RecordBatch) -> pa.Table:
+        get = terms.get
+        found = [np.fromiter(map(get, ws, repeat(-1)), np.int32, len(ws)).tobytes()
+                 for ws in (words_of(t.as_py()) for t in batch.column("text"))]
+        return pa.table({"doc_id": batch.column("doc_id"), "words": pa.array(found, pa.binary())})
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return arrow_map(docs.select("doc_id", "text"), step, f"doc_id {kind}, words binary")
+
+
+def numbers(batch: pa.RecordBatch) -> list[np.ndarray]:
+    """The word numbers of each row."""
+    return [np.frombuffer(w, np.int32) for w in batch.column("words").to_pylist()]
+
+
+def term_frequencies(coded: DataFrame, terms: dict[str, int]) -> dict[str, int]:
     """In how many documents each benchmark term occurs. Only as many rows as there are terms reach the driver."""
     names = list(terms)
 
     def run(batches):
-        counts = np.zeros(len(names), np.int64)
+        counts = np.zeros(len(names) + 1, np.int64)  # the last one is that of -1
         for batch in batches:
-            for text in batch.column("text").to_pylist():
-                own = terms.keys() & WORD.findall(text.lower())
-                counts[[terms[w] for w in own]] += 1
-        there = np.flatnonzero(counts)
+            for own in numbers(batch):
+                counts[np.unique(own)] += 1
+        there = np.flatnonzero(counts[:-1])
         yield pa.RecordBatch.from_pydict({"term": pa.array(there.astype(np.int32)), "n": pa.array(counts[there])})
 
-    found = docs.select("text").mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    found = coded.select("words").mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n"))
     return {names[r["term"]]: r["n"] for r in found.collect()}
 
 
@@ -201,15 +217,19 @@ class Index:
         return (item.key, found, answer) if found >= share or (found >= answered and answer) else None
 
 
-def build_index(items: DataFrame, docs: DataFrame, rank: int) -> Index | None:
-    """The index of one block of items. `items` is small: its rows are read by the driver."""
+def build_index(items: DataFrame, docs: DataFrame, rank: int, written: bool = True) -> tuple[Index, DataFrame] | None:
+    """The index of one block of items and the documents' words as its numbers. `items` is small: its rows are read by
+    the driver. The numbers are written, so that texts are split once, or else made again for each of two reads."""
     held = [Item(r["item_id"], r["text"]) for r in items.collect()]
     held = [i for i in held if i.words]
     if not held:
         return None
     terms = {w: n for n, w in enumerate(sorted({w for i in held for w in i.words}))}
-    frequency = term_frequencies(docs, terms)
-    total = docs.count()
+    coded = coded_words(docs, terms)
+    if written:
+        coded = stage(coded, "coded-words")
+    frequency = term_frequencies(coded, terms)
+    total = coded.count() if written else docs.count()
     idf = np.array([np.log((total + 1) / (frequency.get(w, 0) + 1)) + 1e-3 for w in terms])
     rows = passage_rows(items, terms, idf)
     basis = latent_space(rows, len(terms), rank)
@@ -222,21 +242,22 @@ def build_index(items: DataFrame, docs: DataFrame, rank: int) -> Index | None:
             starts.append(at)
             vectors.append((idf[columns][:, None] * basis[columns]).sum(axis=0))
             at += len(part)
-    return Index(terms, idf, basis, owners, starts, np.array(vectors), held)
+    return Index(terms, idf, basis, owners, starts, np.array(vectors), held), coded
 
 
-def search(docs: DataFrame, index: Index, reach: float, share: float, answered: float, item_kind: str) -> DataFrame:
-    kind = docs.schema["doc_id"].dataType.simpleString()
+def search(coded: DataFrame, index: Index, reach: float, share: float, answered: float, item_kind: str) -> DataFrame:
+    kind = coded.schema["doc_id"].dataType.simpleString()
 
     def step(batch: pa.RecordBatch) -> pa.Table | None:
         row, found = 0, []
-        get = index.terms.get
-        for part in slices(batch.column("text").to_pylist(), 1_500_000):
-            split = [words_of(t) for t in part]
-            coded = [np.fromiter(map(get, ws, repeat(-1)), np.int32, len(ws)) for ws in split]
+        names = np.array([*index.terms, ""], object)  # no word is empty, so -1 equals no word of an item
+        for part in slices(numbers(batch), 250_000):
             best: dict[tuple[int, int], tuple] = {}
-            for d, s, p in zip(*(c.tolist() for c in index.candidates(coded, reach))):
-                hit = index.confirm(split[d], coded[d], s, p, share, answered)
+            words, of = [], -1
+            for d, s, p in zip(*(c.tolist() for c in index.candidates(part, reach))):
+                if d != of:
+                    words, of = names[part[d]].tolist(), d
+                hit = index.confirm(words, part[d], s, p, share, answered)
                 if hit and hit[1] > best.get((d, index.owners[p]), (0, -1.0))[1]:
                     best[d, index.owners[p]] = hit
             found += [(row + d, *hit) for (d, _), hit in sorted(best.items())]
@@ -249,8 +270,7 @@ def search(docs: DataFrame, index: Index, reach: float, share: float, answered:
                          "has_answer": pa.array([f[3] for f in found], pa.bool_())})
 
     batch_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[item_kind]
-    return arrow_map(docs.select("doc_id", "text"), step,
-                     f"doc_id {kind}, item_id {item_kind}, common_share double, has_answer boolean")
+    return arrow_map(coded, step, f"doc_id {kind}, item_id {item_kind}, common_share double, has_answer boolean")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, share: float = 0.75, answered: float = 0.6, reach: float = 0.4,
@@ -270,9 +290,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = 0.75, answered:
     out = None
     for n in range(blocks):
         block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == n)
-        index = build_index(block, rows, rank)
-        if index is not None:
-            found = search(rows, index, reach, share, answered, kind)
+        built = build_index(block, rows, rank, written=blocks == 1)  # not as many copies as there are blocks
+        if built is not None:
+            index, coded = built
+            found = search(coded, index, reach, share, answered, kind)
             out = found if out is None else out.unionAll(found)
     if out is None:
         out = rows.limit(0).select("doc_id", F.lit(None).cast(kind).alias("item_id"),
