@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stancepanel.sources.lexicon import small_table
 from stancepanel.sources.tables import scratch_folder, stage
 
 Scorer = Callable[[list[str]], list[float]]
@@ -62,50 +61,74 @@ def sentence_features(tokens: DataFrame, sentence=("ut", "sent_id"), word: str =
     return shares.unionByName(bias)
 
 
-def labelled_sentences(tokens: DataFrame, labels: DataFrame, label: str, bound: int, doc: str = "ut",
+def labelled_sentences(tokens: DataFrame, labels: DataFrame, label: str, bound: int | None = None, doc: str = "ut",
                        sentence=("ut", "sent_id")) -> DataFrame:
     """Sentences of labelled documents with their document's label `y` and a weight `c` that balances the labels.
 
-    At most `bound` sentences of each label, those with the smallest MD5 of their key. Rows without a label do not count.
+    All of them; with a bound, at most so many of each label, those with the smallest MD5 of their key. Rows without a
+    label do not count.
     """
-    marked = tokens.join(labels.select(doc, F.col(label).alias("y")).where(F.col(label).isNotNull()), doc).select(
+    kept = tokens.join(labels.select(doc, F.col(label).alias("y")).where(F.col(label).isNotNull()), doc).select(
         *sentence, "y").distinct()
-    first = Window.partitionBy("y").orderBy(F.md5(F.concat_ws(":", *[F.col(c).cast("string") for c in sentence])
-                                                  .cast("binary")), *sentence)
-    kept = marked.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= bound).drop("_r")
+    if bound is not None:
+        first = Window.partitionBy("y").orderBy(F.md5(F.concat_ws(":", *[F.col(c).cast("string") for c in sentence])
+                                                      .cast("binary")), *sentence)
+        kept = kept.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= bound).drop("_r")
     sizes = kept.groupBy("y").agg(F.count(F.lit(1)).alias("_n"))
     return kept.join(sizes, "y").select(*sentence, F.col("y").cast("double").alias("y"), (1.0 / F.col("_n")).alias("c"))
 
 
-def fit_hashed_scorer(tokens: DataFrame, labels: DataFrame, label: str, bound: int = 2000, steps: int = 12,
+def gradient_sums(x: DataFrame, weights: np.ndarray) -> np.ndarray:
+    """Sum over sentences (labels, c, cy, features) of what each adds to the gradient; a task sends one sum a feature.
+
+    `labels` is a sentence's number of labels, `c` and `cy` are the sums of their weights and of weight times label.
+    """
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(BIAS + 1)
+        for batch in batches:
+            found = batch.column("features")
+            sizes = np.diff(found.offsets.to_numpy())
+            bucket, share = (a.to_numpy(zero_copy_only=False) for a in found.flatten().flatten())
+            own = np.repeat(np.arange(len(sizes)), sizes)
+            labels, c, cy = (batch.column(n).to_numpy() for n in ("labels", "c", "cy"))
+            odds = labels * np.bincount(own, weights[bucket] * share, len(sizes))
+            sums += np.bincount(bucket, (cy - c / (1 + np.exp(-odds)))[own] * share, BIAS + 1)
+        at = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_pydict({"bucket": pa.array(at, pa.int32()), "g": pa.array(sums[at])})
+
+    out = np.zeros(BIAS + 1)
+    rows = x.select("labels", "c", "cy", "features").mapInArrow(step, "bucket int, g double")
+    for r in rows.groupBy("bucket").agg(F.sum("g").alias("g")).collect():
+        out[r["bucket"]] = r["g"]
+    return out
+
+
+def fit_hashed_scorer(tokens: DataFrame, labels: DataFrame, label: str, bound: int | None = None, steps: int = 12,
                       shrink: float = 1e-5, doc: str = "ut", sentence=("ut", "sent_id"),
                       word: str = "text") -> np.ndarray:
     """Weights of a logistic model of `label` on hashed words, by a fixed number of descent steps.
 
-    Features of the bounded sample (see `labelled_sentences`) are written once. Each step is one Spark job that sums
-    the gradient over all partitions; at most BIAS + 1 sums reach the driver. A sentence's features add up to 2, so the
-    step `gradient / (sum of x / 2 + shrink)` never raises the loss. A feature that no sample sentence has weighs 0.
+    Features of all labelled sentences (of a sample only if a `bound` is given, see `labelled_sentences`) are written
+    once, one row a sentence of at most BIAS + 1 features. Each step is one Spark job that reads these rows and sums the
+    gradient over all partitions; at most BIAS + 1 sums reach the driver. A sentence's features add up to 2, so the step
+    `gradient / (sum of x / 2 + shrink)` never raises the loss. A feature that no labelled sentence has weighs 0.
     Without labelled sentences all weights are 0, hence all scores 0.5.
     """
     keys = list(sentence)
-    sample = stage(labelled_sentences(tokens, labels, label, bound, doc, sentence), f"sample-{uuid.uuid4().hex}",
-                   scratch_folder(tokens.sparkSession))
-    x = stage(sentence_features(tokens.join(sample.select(*keys), keys, "left_semi"), sentence, word).join(sample, keys),
-              f"features-{uuid.uuid4().hex}", scratch_folder(tokens.sparkSession))
+    marked = labelled_sentences(tokens, labels, label, bound, doc, sentence).groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("labels"), F.sum("c").alias("c"), F.sum(F.col("c") * F.col("y")).alias("cy"))
+    marked = stage(marked, f"sample-{uuid.uuid4().hex}", scratch_folder(tokens.sparkSession))
+    own = tokens.join(marked.select(*keys), keys, "left_semi")
+    found = sentence_features(own, sentence, word).groupBy(*keys).agg(
+        F.collect_list(F.struct("bucket", "x")).alias("features"))
+    x = stage(found.join(marked, keys), f"features-{uuid.uuid4().hex}", scratch_folder(tokens.sparkSession))
     scale = np.zeros(BIAS + 1)
-    for r in x.groupBy("bucket").agg(F.sum(F.col("c") * F.col("x") / 2).alias("h")).collect():
+    for r in x.select("c", F.explode("features").alias("f")).groupBy("f.bucket").agg(
+            F.sum(F.col("c") * F.col("f.x") / 2).alias("h")).collect():
         scale[r["bucket"]] = r["h"]
     w = np.zeros(BIAS + 1)
     for _ in range(steps):
-        now = small_table(tokens.sparkSession, {"bucket": list(range(BIAS + 1)), "w": w.tolist()},
-                          {"bucket": pa.int32()})
-        whole = Window.partitionBy(*keys)
-        odds = F.sum(F.col("w") * F.col("x")).over(whole)
-        miss = x.join(now, "bucket").withColumn("r", F.col("c") * (F.col("y") - 1 / (1 + F.exp(-odds))))
-        step = np.zeros(BIAS + 1)
-        for r in miss.groupBy("bucket").agg(F.sum(F.col("r") * F.col("x")).alias("g")).collect():
-            step[r["bucket"]] = r["g"]
-        w = w + (step - shrink * w) / (scale + shrink)
+        w = w + (gradient_sums(x, w) - shrink * w) / (scale + shrink)
     return w
 
 

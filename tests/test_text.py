@@ -348,3 +348,16 @@ def test_fitted_scorer_without_labels(spark):
     assert not weights.any()
     df = spark.createDataFrame([(1, "a b"), (2, None), (3, "")], "k int, sentence string")
     assert {r["certainty"] for r in scoring.score_sentences(df, scoring.hashed_scorer(weights)).collect()} == {0.5}
+
+
+def test_fitted_scorer_learns_from_every_labelled_sentence(spark):
+    """A word of the last sentence by MD5 among 2,100 of its label has a weight, and each sentence counts once."""
+    import hashlib
+    last = max(range(1, 4200, 2), key=lambda d: hashlib.md5(f"{d}:0".encode()).hexdigest())
+    tokens = spark.createDataFrame([(d, 0, 1, "odd" if d % 2 else "even") for d in range(4200)] + [(last, 0, 2, "rare")],
+                                   "ut int, sent_id int, tok_id int, text string")
+    labels = spark.createDataFrame([(d, d % 2) for d in range(4200)], "ut int, q int")
+    found = scoring.labelled_sentences(tokens, labels, "q").collect()
+    assert len(found) == 4200 and {r["c"] for r in found} == {1 / 2100}
+    weights = scoring.fit_hashed_scorer(tokens, labels, "q", steps=3)
+    assert weights[int(hashlib.md5(b"rare").hexdigest()[:3], 16)] > 0
