@@ -361,3 +361,27 @@ def test_fitted_scorer_learns_from_every_labelled_sentence(spark):
     assert len(found) == 4200 and {r["c"] for r in found} == {1 / 2100}
     weights = scoring.fit_hashed_scorer(tokens, labels, "q", steps=3)
     assert weights[int(hashlib.md5(b"rare").hexdigest()[:3], 16)] > 0
+
+
+def test_mean_score_by_flag_is_fitted_on_whole_labelled_documents(spark, tmp_path):
+    """Two labelled documents of 2,200 lines: a word of the line that comes last by MD5 has a weight; SQL agrees."""
+    import hashlib
+
+    import duckdb
+
+    import __spark_entry__ as entry
+    from stancepanel.plans import token_queries
+    one, two = [i for i in range(1, 60) if i % 3 and hashlib.md5(str(i).encode()).hexdigest()[0] not in "012"][:2]
+    last = max(range(2200), key=lambda k: hashlib.md5(f"{one}:{k}".encode()).hexdigest())
+    texts = {one: "\n".join("rare words" if k == last else f"ther w{k % 7}" for k in range(2200)),
+             two: "\n".join(f"thing v{k % 5}" for k in range(2200))}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(one, 1), (two, 0)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    weights = token_queries.fitted_weights(spark, str(tmp_path))
+    assert weights[int(hashlib.md5(b"rare").hexdigest()[:3], 16)] > 0
+    con = duckdb.connect()
+    for name in ("documents", "labels"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+    got = entry.queries()["t11_mean_score_by_flag"](spark, str(tmp_path)).collect()
+    want = con.execute(entry.oracle_sql()["t11_mean_score_by_flag"]).fetchall()
+    assert sorted(map(tuple, got)) == sorted(want) and sum(r["n"] for r in got) == 4400
