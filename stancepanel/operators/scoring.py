@@ -52,13 +52,19 @@ def word_bucket(word: Column) -> Column:
     return F.conv(F.substring(F.md5(word.cast("binary")), 1, HEX_DIGITS), 16, 10).cast("int")
 
 
-def sentence_features(tokens: DataFrame, sentence=("ut", "sent_id"), word: str = "text") -> DataFrame:
-    """One row per sentence and feature: the share `x` of its words in a bucket, and the bias of 1."""
+def feature_rows(tokens: DataFrame, sentence=("ut", "sent_id"), word: str = "text") -> DataFrame:
+    """One row per sentence: `features`, the share `x` of its words in each bucket they have, and the bias of 1."""
     counts = tokens.groupBy(*sentence, word_bucket(F.col(word)).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
-    total = F.sum("n").over(Window.partitionBy(*sentence))
-    shares = counts.select(*sentence, "bucket", (F.col("n") / total).alias("x"))
-    bias = tokens.select(*sentence).distinct().select(*sentence, F.lit(BIAS).alias("bucket"), F.lit(1.0).alias("x"))
-    return shares.unionByName(bias)
+    rows = counts.groupBy(*sentence).agg(F.collect_list(F.struct("bucket", F.col("n").cast("int").alias("n"))).alias("_w"),
+                                         F.sum("n").alias("_n"))
+    shares = F.transform("_w", lambda w: F.struct(w["bucket"].alias("bucket"), (w["n"] / F.col("_n")).alias("x")))
+    bias = F.array(F.struct(F.lit(BIAS).alias("bucket"), F.lit(1.0).alias("x")))
+    return rows.select(*sentence, F.concat(shares, bias).alias("features"))
+
+
+def sentence_features(tokens: DataFrame, sentence=("ut", "sent_id"), word: str = "text") -> DataFrame:
+    """One row per sentence and feature: what `feature_rows` lists."""
+    return feature_rows(tokens, sentence, word).select(*sentence, F.inline("features"))
 
 
 def labelled_sentences(tokens: DataFrame, labels: DataFrame, label: str, bound: int | None = None, doc: str = "ut",
@@ -119,8 +125,8 @@ def fit_hashed_scorer(tokens: DataFrame, labels: DataFrame, label: str, bound: i
         F.count(F.lit(1)).alias("labels"), F.sum("c").alias("c"), F.sum(F.col("c") * F.col("y")).alias("cy"))
     marked = stage(marked, f"sample-{uuid.uuid4().hex}", scratch_folder(tokens.sparkSession))
     own = tokens.join(marked.select(*keys), keys, "left_semi")
-    found = sentence_features(own, sentence, word).groupBy(*keys).agg(
-        F.collect_list(F.struct("bucket", "x")).alias("features"))
+    found = feature_rows(own, sentence, word).withColumn(
+        "features", F.filter("features", lambda f: f["bucket"].isNotNull()))
     x = stage(found.join(marked, keys), f"features-{uuid.uuid4().hex}", scratch_folder(tokens.sparkSession))
     scale = np.zeros(BIAS + 1)
     for r in x.select("c", F.explode("features").alias("f")).groupBy("f.bucket").agg(
